@@ -2,24 +2,48 @@
 
 from __future__ import annotations
 
+import importlib
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from loomtext.llm import mixing, simhash
+from loomtext.llm import license as licenses
+from loomtext.llm import mixing, simhash, sstable, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A public tokenizer's file, from its package or from /opt/tokenizers; every machine has it."""
+    try:
+        return importlib.import_module("public_tokenizers").path(name)
+    except ImportError:
+        return str(Path("/opt/tokenizers") / name)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archived(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op4_mix": op4_mix}
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.token_shards(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op3_warc": op3_warc, "op4_mix": op4_mix, "op6_shards": op6_shards, "op8_license": op8_license}
 
-ORACLE_SQL = {"op4_mix": mixing.ORACLE_SQL}
+ORACLE_SQL = {"op3_warc": warc.ORACLE_SQL, "op4_mix": mixing.ORACLE_SQL}
