@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.plans.runtime import checkpoint, materialise
+from loomtext.plans.runtime import materialise
 
 WORDS = r"[^\\x20\\x09-\\x0D]+"
 WEIGHTS, CAP, SEED = (1, 2, 3), 3, 42
@@ -55,14 +55,14 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
     sources = source_targets(sized.groupBy("key", "source").agg(F.sum("size").alias("source_size")).drop("key"), weights, cap)
     sources = sources.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source")
     sources = sources.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-    sources = checkpoint(sources.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
+    sources = materialise(sources.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "mix-sources")
     # The scale of the probabilities: the largest that any set of certain documents gives; sets are prefixes by size.
     counts = sized.where("size > 0").groupBy("key", "size").agg(F.count("*").alias("n")).join(sources.select("key", "rest"), "key")
     larger = Window.partitionBy("key").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("key").orderBy("size")
     mass = F.sum(F.col("n") * F.floor(F.col("size") * F.sqrt("size") * 1024).cast("long")).over(upto) / 1024.0
     scale = counts.select("key", ((F.col("rest") - F.coalesce(F.sum(F.col("n") * F.col("size")).over(larger), F.lit(0))) / mass).alias("scale"))
-    sources = checkpoint(sources.join(scale.groupBy("key").agg(F.max("scale").alias("scale")), "key", "left"))
+    sources = materialise(sources.join(scale.groupBy("key").agg(F.max("scale").alias("scale")), "key", "left"), "mix-scale")
 
     u = (F.conv(F.substring("h", 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
     p = F.least(F.lit(1.0), F.col("scale") * F.sqrt("size"))
@@ -72,9 +72,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
     ranked = ranked.withColumn("q", q).withColumn("t", F.col("q") / (1 + F.col("q")) * BUCKETS)
     ranked = ranked.withColumn("b1", F.least(F.floor("t"), F.lit(BUCKETS - 1))).withColumn("b2", F.floor((F.col("t") - F.col("b1")) * BUCKETS))
     ranked = materialise(ranked.drop("u", "p", "t", "scale"), "mix-ranked")
-    one = checkpoint(_crossing(ranked.where("q is not null"), "b1", F.lit(0)).withColumnRenamed("at", "c1").withColumnRenamed("ahead", "a1"))
+    one = materialise(_crossing(ranked.where("q is not null"), "b1", F.lit(0)).withColumnRenamed("at", "c1").withColumnRenamed("ahead", "a1"), "mix-one")
     inside = ranked.where("q is not null").join(one, "key").where("b1 = c1")
-    two = checkpoint(_crossing(inside, "b2", F.col("a1")).withColumnRenamed("at", "c2").withColumnRenamed("ahead", "a2"))
+    two = materialise(_crossing(inside, "b2", F.col("a1")).withColumnRenamed("at", "c2").withColumnRenamed("ahead", "a2"), "mix-two")
     placed = ranked.join(one, "key", "left").join(two, "key", "left")
     last = "b1 = c1 and b2 = c2"
     order = Window.partitionBy("key").orderBy("q", "doc_id", "h")
