@@ -19,10 +19,10 @@ def motif(spark):
 
 
 def test_cleaner_keeps_a_trail(spark):
-    rows = frame(spark, [("Hello there .", "How you dey"), ("hello there", "how you dey"), (None, "x y"), ("one two three", "a b c")])
+    rows = frame(spark, [("Hello there .", "How you dey"), ("hello there", "how you dey"), (None, "x y"), ("one two three", "a b c"), ("one two", "a b c d e f g")])
     clean, bad = curate.clean_pairs(rows), curate.rejected_pairs(rows)
     assert sorted(r.source_index for r in clean.collect()) == [0, 3]
-    assert {r.source_index: r.rejection_reason for r in bad.collect()} == {1: "normalized_duplicate", 2: "empty,ratio_too_high,too_short"}
+    assert {r.source_index: r.rejection_reason for r in bad.collect()} == {1: "normalized_duplicate", 2: "empty,too_short", 4: "ratio_too_high"}
     assert clean.where("source_index = 0").first().eng_norm == "hello there"
 
 
