@@ -1,9 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomtext.operators import curate
+from loomtext.operators import components, curate
 from loomtext.operators.components import connected_components
 from loomtext.plans.jobs import audit_report, curate_corpus
+from loomtext.plans.runtime import checkpoint
 
 
 def frame(spark, rows):
@@ -53,3 +54,12 @@ def test_components_of_chains_and_hubs(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(51)} | {k: 1000 for k in range(1000, 1100)} | {2000: 2000, 2001: 2000}
     assert connected_components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_components_take_few_rounds_on_long_chains(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(components, "checkpoint", lambda df: rounds.append(1) or checkpoint(df))
+    n = 400
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame([(i, i + 1) for i in range(n)], "u long, v long")).collect()}
+    assert got == dict.fromkeys(range(n + 1), 0)
+    assert len(rounds) <= 20
