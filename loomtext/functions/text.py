@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -68,9 +68,20 @@ def strip_citations(x: Column | str) -> Column:
     return strip(F.regexp_replace(_col(x), rf"^{WS}*(?:{cited}{WS}*)+", ""))
 
 
+def fold_key(x: Column | str) -> Column:
+    """The key of a detokenized text: folded, only word characters, spaces, ' and -."""
+    return collapse(F.regexp_replace(casefold(x), rf"[^\p{{L}}\p{{N}}_\s\p{{Z}}\x0B\x1C-\x1F\x85'-]", " "))
+
+
 def normalize_key(x: Column | str) -> Column:
-    """The key under which texts count as equal: detokenized, folded, only word characters, spaces, ' and -."""
-    return collapse(F.regexp_replace(casefold(detokenize(x)), rf"[^\p{{L}}\p{{N}}_\s\p{{Z}}\x0B\x1C-\x1F\x85'-]", " "))
+    """The key under which texts count as equal."""
+    return fold_key(detokenize(x))
+
+
+def with_key(df: DataFrame, **columns: str) -> DataFrame:
+    """``df`` with a key of a text under each name. Folding names its text three times, so the detokenized text is a column of its own meanwhile."""
+    staged = df.withColumns({f"__{k}": detokenize(c) for k, c in columns.items()})
+    return staged.withColumns({k: fold_key(f"__{k}") for k in columns}).drop(*(f"__{k}" for k in columns))
 
 
 def word_count(x: Column | str) -> Column:

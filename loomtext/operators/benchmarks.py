@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
 from loomtext.plans.config import require_columns, require_known_directions
+from loomtext.plans.runtime import materialise
 
 # Where a worksheet's text may stand, statuses, ratings, files and words of a release.
 TEXT_COLUMNS = ("sentence", "text", "eng_Latn")
@@ -121,7 +122,7 @@ def agreement(rows: DataFrame, item: str, reviewer: str, value: str) -> DataFram
 
 def contamination_exact(train: DataFrame, benchmark: DataFrame, train_text: str = "text", bench_text: str = "text") -> DataFrame:
     """(rows, normalized): training rows equal to a benchmark text, as they are and by key; counts even where 0."""
-    key = lambda df, c: df.select(F.col(c).alias("t"), T.normalize_key(c).alias("k"))
+    key = lambda df, c: T.with_key(df.select(F.col(c).alias("t")), k="t")
     left, right = key(train.where(F.col(train_text).isNotNull()), train_text), key(benchmark.where(F.col(bench_text).isNotNull()), bench_text)
     raw = left.join(right.select("t").distinct(), "t", "left_semi").agg(F.count("*").alias("exact_rows"))
     folded = left.join(right.select("k").distinct(), "k", "left_semi").agg(F.count("*").alias("normalized_rows"))
@@ -135,21 +136,26 @@ def contamination_contains(train: DataFrame, benchmark: DataFrame, train_id: str
     of the training texts finds candidates, which are then checked; items of fewer words join on
     windows of their own length. No pair is compared that shares no window.
     """
-    items = benchmark.select(F.col(item_id).alias("item"), T.normalize_key(bench_text).alias("item_key")).where("item_key <> ''")
+    items = T.with_key(benchmark.select(F.col(item_id).alias("item"), F.col(bench_text).alias("t")), item_key="t").where("item_key <> ''")
     items = items.withColumn("w", F.split("item_key", " ")).withColumn("len", F.least(F.size("w"), F.lit(words)))
     items = items.select("item", "item_key", "len", F.xxhash64(F.array_join(F.expr("slice(w, 1, len)"), " ")).alias("h"))
     lengths = [r[0] for r in items.select("len").distinct().collect()]  # at most ``words`` numbers
-    texts = train.select(F.col(train_id).alias("train"), T.normalize_key(train_text).alias("text_key")).where("text_key <> ''")
-    texts = texts.withColumn("w", F.split("text_key", " "))
-    out = None
+    keys = T.with_key(train.select(F.col(train_id).alias("train"), F.col(train_text).alias("t")), text_key="t")
+    keys = materialise(keys.where("text_key <> ''").select("train", "text_key"), "contains-keys")
+    texts = keys.select("train", F.split("text_key", " ").alias("w"))
+    # Windows carry ids alone: a text beside each of its windows would be the square of its length.
+    found = None
     for n in sorted(lengths):
         grams = F.expr(f"transform(sequence(1, size(w) - {n} + 1), i -> xxhash64(array_join(slice(w, i, {n}), ' ')))")
-        windows = texts.where(F.size("w") >= n).select("train", "text_key", F.explode(F.array_distinct(grams)).alias("h"))
-        found = windows.join(items.where(F.col("len") == n), "h").where(F.contains(F.concat(F.lit(" "), "text_key", F.lit(" ")), F.concat(F.lit(" "), "item_key", F.lit(" "))))
-        part = found.select("train", "item")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = texts.select("train", F.lit(None).cast("long").alias("item")).limit(0)
+        windows = texts.where(F.size("w") >= n).select("train", F.explode(F.array_distinct(grams)).alias("h"))
+        part = windows.join(items.where(F.col("len") == n).select("item", "item_key", "h"), "h").select("train", "item", "item_key")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        out = keys.select("train", F.lit(None).cast("long").alias("item")).limit(0)
+    else:
+        found = found.distinct().withColumnRenamed("train", "at")
+        spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+        out = keys.join(found, F.col("train").eqNullSafe(F.col("at"))).where(F.contains(spaced("text_key"), spaced("item_key"))).select("train", "item")
     return out.distinct().withColumnsRenamed({"train": train_id, "item": item_id})
 
 

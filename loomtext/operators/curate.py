@@ -24,8 +24,8 @@ def _filled(pairs: DataFrame) -> DataFrame:
 
 def with_keys(pairs: DataFrame) -> DataFrame:
     """``pairs`` with eng_norm and wes_norm where they are missing."""
-    need = {f"{c}_norm": T.normalize_key(c) for c in ("eng", "wes") if f"{c}_norm" not in pairs.columns}
-    return pairs.withColumns(need) if need else pairs
+    need = {f"{c}_norm": c for c in ("eng", "wes") if f"{c}_norm" not in pairs.columns}
+    return T.with_key(pairs, **need) if need else pairs
 
 
 def audit_rows(pairs: DataFrame) -> DataFrame:
@@ -46,7 +46,9 @@ def audit_counts(pairs: DataFrame) -> DataFrame:
         "english_space_before_punctuation_rows": T.spaced_punctuation("eng"),
         "target_only_leading_parenthetical_rows": ~T.leading_parenthesis("eng") & T.leading_parenthesis("wes"),
     }
-    plain = rows.agg(F.count("*").alias("rows"), *(F.count_if(c).alias(k) for k, c in flags.items()))
+    # Five aggregates read the keys, so they are made once.
+    rows = materialise(rows.select("eng", "wes", "eng_norm", "wes_norm", *(c.alias(k) for k, c in flags.items())), "audit")
+    plain = rows.agg(F.count("*").alias("rows"), *(F.count_if(k).alias(k) for k in flags))
 
     # Distinct counts as grouped counts: each is a partial aggregate on its own key.
     def copies(name: str, *by: str) -> DataFrame:
@@ -137,7 +139,7 @@ def judged_pairs(pairs: DataFrame, config: Mapping[str, Any] | CleaningConfig |
 
 def _ranked(pairs: DataFrame, config: Mapping[str, Any] | CleaningConfig | None) -> DataFrame:
     """Judged pairs in which later copies of an accepted key pair are marked too."""
-    rows = judged_pairs(pairs, config)
+    rows = materialise(judged_pairs(pairs, config), "judged")  # both sides of the join read it
     fine = F.col("rejection_reason").isNull()
     # The first accepted row of each key pair, by a partial minimum: a hot pair is no window's partition.
     first = rows.where(fine).groupBy("eng_norm", "wes_norm").agg(F.min("source_index").alias("first"))

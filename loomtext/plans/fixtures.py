@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text) of ``documents``; a table of fewer parts than cores is dealt out first."""
+    docs, cores = table(spark, sf_dir, "documents").select("doc_id", "text"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
+
+
 # Pairs of neighbouring non-blank lines, with noise by document so that every text rule has work.
 ENG = """CASE WHEN doc_id % 3 = 0 THEN replace(replace(e, ',', ' ,'), '.', ' .')
      WHEN doc_id % 5 = 1 THEN concat(e, ' don '' t go') WHEN doc_id % 5 = 2 THEN concat('well - known ', e)
@@ -20,7 +26,7 @@ WES = """CASE WHEN doc_id % 50 = 0 AND pos % 2 = 0 THEN '' WHEN doc_id % 7 = 0 T
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source_index, doc_id, pos, eng, wes)."""
-    lines = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("l"))
+    lines = texts(spark, sf_dir).where("text is not null").select("doc_id", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("l"))
     at = lines.where(F.size("l") > 1).select("doc_id", F.posexplode(F.expr("transform(sequence(1, size(l) - 1), i -> struct(l[i - 1] as e, l[i] as w))")).alias("pos", "p"))
     at = at.select("doc_id", (F.col("pos") + 1).alias("pos"), "p.e", "p.w")
     return at.select((F.col("doc_id") * 100000 + F.col("pos")).alias("source_index"), "doc_id", "pos", F.expr(ENG).alias("eng"), F.expr(WES).alias("wes"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
 from loomtext.operators import benchmarks, curate, metrics, vocabulary
-from loomtext.plans.fixtures import PAIRS_SQL, PREDICTIONS_SQL, RATINGS_SQL, pairs, predictions, ratings, sheet, table
+from loomtext.plans.fixtures import PAIRS_SQL, PREDICTIONS_SQL, RATINGS_SQL, pairs, predictions, ratings, sheet, table, texts
 from loomtext.plans.runtime import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -454,13 +454,13 @@ def _(spark, d):
 @query("contamination_exact", f"""WITH t AS (SELECT text, {_key("text")} AS k FROM documents WHERE text IS NOT NULL), b AS (SELECT text, {_key("text")} AS k FROM benchmark WHERE text IS NOT NULL)
   SELECT (SELECT count(*) FROM t WHERE text IN (SELECT text FROM b)) AS exact_rows, (SELECT count(*) FROM t WHERE k IN (SELECT k FROM b)) AS normalized_rows""")
 def _(spark, d):
-    return benchmarks.contamination_exact(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return benchmarks.contamination_exact(texts(spark, d), table(spark, d, "benchmark"))
 
 
 @query("contamination_contains", f"""WITH t AS (SELECT doc_id, ' ' || {_key("text")} || ' ' AS k FROM documents), b AS (SELECT item_id, ' ' || {_key("text")} || ' ' AS k FROM benchmark)
   SELECT DISTINCT doc_id, item_id FROM t JOIN b ON contains(t.k, b.k) WHERE trim(b.k) <> ''""")
 def _(spark, d):
-    return benchmarks.contamination_contains(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return benchmarks.contamination_contains(texts(spark, d), table(spark, d, "benchmark"))
 
 
 @query("rating_summary", f"WITH {RATINGS_SQL} SELECT lang, count(*) AS rows, round(avg(adequacy), 6) AS mean_adequacy, round(avg(quality), 6) AS share_quality, round(avg(toxic), 6) AS share_toxic FROM ratings GROUP BY 1")
