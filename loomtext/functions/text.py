@@ -1,4 +1,4 @@
-"""Text rules as Column expressions; Python runs only on strings that native functions cannot fold."""
+"""Text rules as Column expressions; Python only for NFKC and case folding, over Arrow batches."""
 
 from __future__ import annotations
 
@@ -18,9 +18,8 @@ MARKERS = "jehovah|bible|jesus|christ|christian|god|apostle|congregation|ministr
 # Which punctuation attaches to the text before or after it.
 CLOSING, FLAGGED = ",.;:!?%", ",.;:!?"
 
-#: Strings of these characters alone are in form NFKC and fold like their lower case, but for sharp s.
-_PLAIN = r"^[\x00-\x9FÀ-ÿ]*$"
-
+# Both name their text once: a native path beside Python's for plain strings would name it three times,
+# and Catalyst writes out whole chains of patterns for each, which costs far more than an Arrow batch.
 _nfkc = F.udf(lambda s: None if s is None else unicodedata.normalize("NFKC", s), StringType(), useArrow=True)
 _fold = F.udf(lambda s: None if s is None else s.casefold(), StringType(), useArrow=True)
 
@@ -30,15 +29,13 @@ def _col(x: Column | str) -> Column:
 
 
 def nfkc(x: Column | str) -> Column:
-    """NFKC; plain strings reach no Python worker but as nulls."""
-    x = _col(x)
-    return F.coalesce(_nfkc(F.when(~x.rlike(_PLAIN), x)), x)
+    """NFKC."""
+    return _nfkc(_col(x))
 
 
 def casefold(x: Column | str) -> Column:
     """Full case folding."""
-    x = _col(x)
-    return F.coalesce(_fold(F.when(~x.rlike(_PLAIN), x)), F.replace(F.lower(x), F.lit("ß"), F.lit("ss")))
+    return _fold(_col(x))
 
 
 def strip(x: Column | str) -> Column:
@@ -79,9 +76,8 @@ def normalize_key(x: Column | str) -> Column:
 
 
 def with_key(df: DataFrame, **columns: str) -> DataFrame:
-    """``df`` with a key of a text under each name. Folding names its text three times, so the detokenized text is a column of its own meanwhile."""
-    staged = df.withColumns({f"__{k}": detokenize(c) for k, c in columns.items()})
-    return staged.withColumns({k: fold_key(f"__{k}") for k in columns}).drop(*(f"__{k}" for k in columns))
+    """``df`` with a key of a text under each name."""
+    return df.withColumns({k: normalize_key(c) for k, c in columns.items()})
 
 
 def word_count(x: Column | str) -> Column:
