@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.llm.shingles import similar_classes
 from loomtext.operators.components import connected_components
 from loomtext.plans.runtime import checkpoint, materialise, shuffle_partitions
 
@@ -229,9 +230,9 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its class; rows with a null id are kept.
 
-    Of rows that repeat such an id, the one with the smallest text stays (null first).
+    Classes are of texts whose five-word shingles have a Jaccard similarity of 0.8 or more. Of rows that repeat such an id, the one with the smallest text stays (null first).
     """
-    classes = near_duplicate_classes(docs, id_col, text_col)
+    classes = similar_classes(docs, id_col, text_col)
     keep = classes.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
     rank = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
     kept = docs.join(keep, id_col, "left_semi").withColumn("__rank", rank).where("__rank = 1").drop("__rank")
