@@ -19,6 +19,8 @@ KEPT = 1 << 15
 #: Scores are a softmax of cosines times this.
 SHARPNESS = 40.0
 UNKNOWN = "und"
+#: The cosine of fewer trigrams is small whatever the language, so that it rejects nothing.
+TELLING = 32
 
 
 @cache
@@ -169,12 +171,12 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def reject_unidentified(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that are not ``und`` and whose best cosine is ``least`` or more."""
+    """The rows of ``docs`` that are not ``und`` and whose best cosine is ``least`` or more, if they have TELLING trigrams."""
     prototypes = learn_prototypes(docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)), text_col, lang_col)
 
     @F.udf("boolean", useArrow=True)
     def kept(text: str | None) -> bool:
         name, _, cosine = prototypes.predict(text)
-        return name != UNKNOWN and cosine >= least
+        return name != UNKNOWN and (cosine >= least or len(ngrams(text)) < TELLING)
 
     return docs.where(kept(F.col(text_col).cast("string")))
