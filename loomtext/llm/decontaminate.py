@@ -19,7 +19,6 @@ SPAN = len(MASKS[0])
 LEAST = 5
 #: Words that must match in an overlap, and of its words the share that must.
 MATCHES, SHARE = 12, 0.8
-MISMATCH = -2
 #: Characters of distinct benchmark texts that go to the executors at a time.
 CHUNK = 4 << 20
 
@@ -83,17 +82,22 @@ class Seeds:
         return best
 
     def _verify(self, ids: np.ndarray, item: int, shift: int) -> list[tuple[int, int, int, int]]:
-        """The heaviest overlap on a diagonal, if it is long and alike enough; a mismatch weighs MISMATCH, a match 1."""
+        """The overlap of most matches on a diagonal, of those of enough matches and SHARE; the shortest, then the first, of equals."""
         want = self.items[item]
         first, end = max(0, -shift), min(len(want), len(ids) - shift)
         same = want[first:end] == ids[first + shift : end + shift]
-        total = np.concatenate([[0], np.cumsum(np.where(same, 1, MISMATCH))])
-        floor = np.minimum.accumulate(total)
-        stop = int(np.argmax(total - floor))
-        start = int(np.flatnonzero(total[: stop + 1] == floor[stop])[-1])
-        matches, length = int(same[start:stop].sum()), stop - start
         enough = min(MATCHES, len(want))
-        return [(matches, length, first + start + shift, first + start)] if matches >= enough and matches >= SHARE * length else []
+        at = np.flatnonzero(same)  # an overlap that is best starts and ends with a match
+        if len(at) < enough:
+            return []
+        # Matches i to j have SHARE of their words if above[j] >= below[i]: the first such i has the most matches.
+        order = np.arange(len(at))
+        above, below = (order + 1) * 100 - round(SHARE * 100) * (at + 1), order * 100 - round(SHARE * 100) * at
+        i = np.searchsorted(-np.minimum.accumulate(below), -above, "left")
+        matches, length = order - i + 1, at - at[i] + 1
+        j = int(np.lexsort((length, -matches))[0])
+        place = first + int(at[i[j]])
+        return [(int(matches[j]), int(length[j]), place + shift, place)] if matches[j] >= enough else []
 
 
 def _chunks(benchmark: DataFrame, text_col: str, chunk: int) -> Iterator[list[str]]:
