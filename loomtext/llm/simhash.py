@@ -8,10 +8,11 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.shingles import similar_classes
+from loomtext.llm.columns import fields
+from loomtext.llm.shingles import drop_similar
 from loomtext.operators.components import connected_components
 from loomtext.plans.runtime import checkpoint, materialise, shuffle_partitions
 
@@ -64,7 +65,7 @@ def _fingerprints(shingle: int, batches: Iterator[pa.RecordBatch]) -> Iterator[p
 
 def simhash_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """(id, fp) of every row; ``fp`` holds the 64 bits as a signed long."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = fields(docs, id_col, text_col).select(F.col("f0").cast("long").alias("id"), F.col("f1").cast("string").alias("text"))
     return rows.mapInArrow(lambda it: _fingerprints(shingle, it), "id long, fp long")
 
 
@@ -228,12 +229,10 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its class; rows with a null id are kept.
+    """One row of ``docs`` of each class of near-duplicates: that of the smallest id, null ids last.
 
-    Classes are of texts whose five-word shingles have a Jaccard similarity of 0.8 or more. Of rows that repeat such an id, the one with the smallest text stays (null first).
+    Classes are of texts whose five-word shingles have a Jaccard similarity of 0.8 or more; 4 of 64
+    bits, the fingerprints' distance, miss most of these, so that shingles decide (``drop_similar``
+    says which of rows that repeat an id stays, and what holds for nulls, repeats and empty tables).
     """
-    classes = similar_classes(docs, id_col, text_col)
-    keep = classes.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    kept = docs.join(keep, id_col, "left_semi").withColumn("__rank", rank).where("__rank = 1").drop("__rank")
-    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    return drop_similar(docs, id_col, text_col)

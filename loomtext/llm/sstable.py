@@ -2,13 +2,14 @@
 
 A shard holds, in ascending key order: blocks, a sparse block index, a Bloom filter and a footer.
 
-* key: 0 for a null id, or 1 and the id as 8 bytes big-endian with its sign bit turned; then the
-  4-byte number of the row among those of equal id.
+* key: 0 for a null id, or 1 and the id as 8 bytes big-endian with its sign bit turned; then 4 bytes
+  each of the part that wrote the row and of its number among the part's rows of equal id.
 * block, zstd-compressed: entries (varints of the key's shared and own length and the value's
   length, own key bytes, value), then the 4-byte offsets of the restart entries, which share
   nothing, and their number. A value is the token ids, little-endian, 2 or 4 bytes each.
 * index: for each block the varint length of its last key, the key, varints of offset and length,
   and the CRC-32 of the stored block.
+* filter: over ids alone, so that a document is looked up by its identifier.
 * footer of fixed size: offsets and lengths of index and filter, documents, tokens, bytes an id,
   number of hashes, magic.
 """
@@ -18,18 +19,22 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.llm.columns import fields
 from loomtext.llm.files import new_file, open_file
 from loomtext.plans.runtime import fresh_path, materialise, shuffle_partitions
 
@@ -37,13 +42,22 @@ MAGIC = b"LTSSTBL1"
 FOOTER = struct.Struct("<QQQQQQBB8s")
 BLOCK, RESTART, BITS_PER_KEY, HASHES = 64 << 10, 16, 10, 7
 END_ID = 2
+#: A shard is closed once it holds so many bytes.
+ROLL = 256 << 20
 #: A worker keeps the ids of so many pieces of so many characters at most; others are encoded again.
-PIECES, LONGEST = 600_000, 48
+PIECES, LONGEST = 800_000, 48
+#: Marks that a tokenizer parts from the letter before them; ids of so many runs of them are kept.
+MARKS, KEPT_MARKS = ",.;:!?", 1000
+#: Texts of so many characters together are encoded at a time, one at least.
+TOGETHER = 8 << 20
 
 
-def key_of(doc_id: int | None, number: int = 0) -> bytes:
-    head = b"\0" if doc_id is None else b"\1" + struct.pack(">Q", doc_id + (1 << 63))
-    return head + struct.pack(">I", number)
+def head_of(doc_id: int | None) -> bytes:
+    return b"\0" if doc_id is None else b"\1" + struct.pack(">Q", doc_id + (1 << 63))
+
+
+def key_of(doc_id: int | None, number: int = 0, part: int = 0) -> bytes:
+    return head_of(doc_id) + struct.pack(">II", part, number)
 
 
 def id_of(key: bytes) -> int | None:
@@ -71,13 +85,13 @@ def _read_varint(data: bytes, at: int) -> tuple[int, int]:
 
 
 class ShardWriter:
-    """Writes entries given in ascending key order; holds one block, the index and 8 bytes a key."""
+    """Writes entries given in ascending key order; holds one block, the index and 8 bytes an id."""
 
     def __init__(self, out, width: int, block: int = BLOCK):
         self.out, self.width, self.block = out, width, block
         self.at = self.docs = self.tokens = 0
         self.entries, self.restarts, self.count, self.last = bytearray(), [], 0, b""
-        self.index, self.hashes = bytearray(), []
+        self.index, self.hashes = bytearray(), array("Q")
 
     def add(self, key: bytes, value: bytes) -> None:
         if self.docs and key <= self.last:
@@ -88,11 +102,12 @@ class ShardWriter:
         else:
             self.restarts.append(len(self.entries))
         self.entries += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
+        if key[:-8] != self.last[:-8] or not self.docs:
+            self.hashes.append(xxhash.xxh64_intdigest(key[:-8]))
         self.last = key
         self.count += 1
         self.docs += 1
         self.tokens += len(value) // self.width
-        self.hashes.append(xxhash.xxh64_intdigest(key))
         if len(self.entries) >= self.block:
             self._flush()
 
@@ -108,7 +123,7 @@ class ShardWriter:
 
     def close(self) -> None:
         self._flush()
-        bloom = bloom_filter(np.array(self.hashes, dtype=np.uint64))
+        bloom = bloom_filter(np.frombuffer(self.hashes, dtype=np.uint64))
         self.out.write(bytes(self.index))
         self.out.write(bloom)
         self.out.write(FOOTER.pack(self.at, len(self.index), self.at + len(self.index), len(bloom), self.docs, self.tokens, self.width, HASHES, MAGIC))
@@ -121,13 +136,15 @@ def _probes(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 def bloom_filter(hashes: np.ndarray) -> bytes:
     bits = max(64, -(-len(hashes) * BITS_PER_KEY // 8) * 8)
-    field = np.zeros(bits, dtype=np.uint8)
-    field[_probes(hashes, bits).ravel()] = 1
-    return np.packbits(field, bitorder="little").tobytes()
+    field = np.zeros(bits // 8, dtype=np.uint8)
+    for at in range(0, len(hashes), 100_000):
+        probes = _probes(hashes[at : at + 100_000], bits).ravel()
+        np.bitwise_or.at(field, probes >> np.uint64(3), (1 << (probes & np.uint64(7))).astype(np.uint8))
+    return field.tobytes()
 
 
 class Shard:
-    """A shard's reader: ``get`` for one key by filter, index and restart search; iteration block by block."""
+    """A shard's reader: ``find`` for an id by filter, index and restart search; iteration block by block."""
 
     def __init__(self, uri: str):
         self.file = open_file(uri)
@@ -168,24 +185,32 @@ class Shard:
         length, at = _read_varint(raw, at)
         return last[:shared] + raw[at : at + own], at + own, at + own + length, length
 
+    def may_hold(self, doc_id: int | None) -> bool:
+        bits = _probes(np.array([xxhash.xxh64_intdigest(head_of(doc_id))], dtype=np.uint64), len(self.bloom) * 8)[0]
+        return all(self.bloom[b >> 3] >> (b & 7) & 1 for b in bits.tolist())
+
+    def find(self, doc_id: int | None) -> Iterator[tuple[bytes, np.ndarray]]:
+        """(key, token ids) of every row of an id, block by block."""
+        head = head_of(doc_id)
+        if not self.may_hold(doc_id):
+            return
+        for i in range(bisect_left(self.keys, head), len(self.keys)):
+            raw, end, restarts = self._block(i)
+            low, high = 0, len(restarts) - 1
+            while low < high:
+                mid = (low + high + 1) // 2
+                low, high = (mid, high) if self._entry(raw, restarts[mid], b"")[0] < head else (low, mid - 1)
+            at, last = restarts[low], b""
+            while at < end:
+                last, value, at, length = self._entry(raw, at, last)
+                if last[: len(head)] > head:
+                    return
+                if last.startswith(head):
+                    yield last, np.frombuffer(raw, f"<u{self.width}", length // self.width, value)
+
     def get(self, key: bytes) -> np.ndarray | None:
-        bits = _probes(np.array([xxhash.xxh64_intdigest(key)], dtype=np.uint64), len(self.bloom) * 8)[0]
-        if not all(self.bloom[b >> 3] >> (b & 7) & 1 for b in bits.tolist()):
-            return None
-        i = bisect_left(self.keys, key)
-        if i == len(self.keys):
-            return None
-        raw, end, restarts = self._block(i)
-        low, high = 0, len(restarts) - 1
-        while low < high:
-            mid = (low + high + 1) // 2
-            low, high = (mid, high) if self._entry(raw, restarts[mid], b"")[0] <= key else (low, mid - 1)
-        at, last = restarts[low], b""
-        while at < end:
-            last, value, at, length = self._entry(raw, at, last)
-            if last >= key:
-                return np.frombuffer(raw, f"<u{self.width}", length // self.width, value) if last == key else None
-        return None
+        """The token ids under a whole key."""
+        return next((ids for k, ids in self.find(id_of(key)) if k == key), None)
 
     def __iter__(self) -> Iterator[tuple[bytes, np.ndarray]]:
         for i in range(len(self.blocks)):
@@ -200,8 +225,9 @@ class PieceEncoder:
     """The tokenizer's ids of whole texts, with the ids of recurring pieces kept.
 
     A byte-level tokenizer starts a new word at a space that something other than white space
-    follows, so a text's ids are those of its pieces, cut before such spaces. A text that has
-    another space next to white space, or a special token, is encoded as one.
+    follows, so a text's ids are those of its pieces, cut before such spaces, and marks after a
+    letter are words of their own. A text that has another space next to white space, or a special
+    token, is encoded as one.
     """
 
     def __init__(self, path: str):
@@ -214,11 +240,11 @@ class PieceEncoder:
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
         self.known: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         kind = f"<u{self.width}"
-        return [np.array(e.ids, dtype=kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype=kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece after a space, encoded in one text."""
@@ -229,41 +255,63 @@ class PieceEncoder:
         bounds = [*starts.tolist(), len(joined)]
         return list(map(joined.__getitem__, map(slice, bounds[:-1], bounds[1:])))
 
+    @staticmethod
+    def _stem(piece: str) -> str:
+        """A piece without the marks at its end, where these follow a Latin letter and so are words of their own."""
+        stem = piece.rstrip(MARKS)
+        return stem if stem and stem[-1] < "\u0250" and stem[-1].isalpha() else piece
+
+    def _marks(self, marks: str) -> bytes:
+        if marks not in self.ends:
+            if len(self.ends) == KEPT_MARKS:
+                self.ends.clear()
+            (self.ends[marks],) = self._encode([marks])
+        return self.ends[marks]
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        cut: list[tuple[str, list[str], list[bytes | None]] | None] = []
-        whole: dict[int, str] = {}
-        heads: dict[str, bytes] = {}
-        new: dict[str, bytes] = {}
-        for i, text in enumerate(texts):
-            text = text or ""
-            head, *rest = text.split(" ")
-            got = list(map(self.known.get, rest))
-            unseen = [x for x, y in zip(rest, got, strict=True) if y is None] if None in got else []
-            if any(s in text for s in self.special) or any(not x or x[0].isspace() for x in unseen):
-                whole[i] = text
-                cut.append(None)
-                continue
-            new.update(dict.fromkeys(unseen, b""))
-            if head not in self.first:
-                heads[head] = b""
-            cut.append((head, rest, got))
-        if new:
-            new = dict(zip(new, self._pieces(list(new)), strict=True))
-        if heads:
-            heads = dict(zip(heads, self._encode(list(heads)), strict=True))
-        whole_ids = dict(zip(whole, self._encode(list(whole.values())), strict=True)) if whole else {}
-        out = []
-        for i, pieces in enumerate(cut):
-            if pieces is None:
-                out.append(whole_ids[i])
-                continue
-            head, rest, got = pieces
-            if None in got:
-                got = [new[x] if y is None else y for x, y in zip(rest, got, strict=True)]
-            out.append((heads[head] if head in heads else self.first[head]) + b"".join(got))
-        for found, kept in ((new, self.known), (heads, self.first)):
-            kept.update((k, v) for k, v in found.items() if len(k) <= LONGEST and len(kept) < PIECES)
-        return out
+        """The ids of each text. Arrow splits the texts, numbers their distinct pieces and puts the ids together again."""
+        if not texts:
+            return []
+        column = pa.array([t or "" for t in texts], pa.large_string())
+        cut = pc.split_pattern(column, " ")
+        flat, at = cut.flatten(), cut.offsets.to_numpy()
+        is_head = np.zeros(len(flat), dtype=bool)
+        is_head[at[:-1]] = True
+        coded = flat.filter(pa.array(~is_head)).dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        codes = np.empty(len(flat), dtype=np.int64)
+        codes[~is_head] = coded.indices.to_numpy()
+        codes[is_head] = len(pieces) + np.arange(len(texts))
+        # Texts that are encoded as one: by a special token, or a space before white space or at the end.
+        odd = np.fromiter((not x or x[0].isspace() for x in pieces), dtype=bool, count=len(pieces))
+        whole = np.zeros(len(texts), dtype=bool)
+        if odd.any():
+            inside = np.zeros(len(flat), dtype=bool)
+            inside[~is_head] = odd[codes[~is_head]]
+            whole = np.add.reduceat(inside, at[:-1]) > 0
+        for token in self.special:
+            whole |= pc.match_substring(column, token).to_numpy(zero_copy_only=False)
+        keep = is_head | ~np.repeat(whole, np.diff(at))
+        used = np.zeros(len(pieces), dtype=bool)
+        used[codes[keep & ~is_head]] = True
+        ids = [self.known.get(x) if u else b"" for x, u in zip(pieces, used.tolist(), strict=True)]
+        new = {i: self._stem(pieces[i]) for i, x in enumerate(ids) if x is None}
+        if unseen := [x for x in dict.fromkeys(new.values()) if x not in self.known]:
+            fresh = dict(zip(unseen, self._pieces(unseen), strict=True))
+            self.known.update(islice(((k, v) for k, v in fresh.items() if len(k) <= LONGEST), max(0, PIECES - len(self.known))))
+        for i, stem in new.items():
+            x = self.known.get(stem) or fresh[stem]
+            ids[i] = x if len(stem) == len(pieces[i]) else x + self._marks(pieces[i][len(stem) :])
+        heads = flat.filter(pa.array(is_head)).to_numpy(zero_copy_only=False).tolist()
+        starts = dict.fromkeys(x for x, w in zip(heads, whole.tolist(), strict=True) if not w)
+        starts = dict(zip(starts, self._encode(list(starts)), strict=True)) if starts else {}
+        rest = iter(self._encode([texts[i] for i in np.flatnonzero(whole).tolist()]) if whole.any() else ())
+        ids += [next(rest) if w else starts[x] for x, w in zip(heads, whole.tolist(), strict=True)]
+        joined = pa.array(ids, pa.large_binary()).take(pa.array(codes[keep]))
+        ends = np.frombuffer(joined.buffers()[1], dtype=np.int64, count=len(joined) + 1)
+        bounds = ends[np.r_[0, np.cumsum(np.where(whole, 1, np.diff(at)))]].tolist()
+        data = memoryview(joined.buffers()[2] or b"")
+        return [bytes(data[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 @cache
@@ -272,38 +320,63 @@ def encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str]]]:
+    """Ids and texts, about TOGETHER characters at a time."""
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                ids.append(doc_id)
+                texts.append(text)
+                size += len(text)
+                if size >= TOGETHER:
+                    yield ids, texts
+                    ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def _write(folder: str, tokenizer: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    uri = f"{folder}/shard-{TaskContext.get().partitionId():06d}.sst"
-    encode, writer, first = encoder(tokenizer), None, None
+    part, encode = TaskContext.get().partitionId(), encoder(tokenizer)
     tail = np.array([end_id], dtype=f"<u{encode.width}").tobytes()
-    batch = next(batches, None)
-    if batch is None:
-        return
-    with new_file(uri) as out:
-        writer, last, number = ShardWriter(out, encode.width), object(), 0
-        while batch is not None:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
-                    number = number + 1 if doc_id == last else 0
-                    last, key = doc_id, key_of(doc_id, number)
-                    first = first or key
-                    writer.add(key, ids + tail)
-            batch = next(batches, None)
-        writer.close()
-    if writer.docs:
+
+    def rows() -> Iterator[tuple[bytes, bytes]]:
+        last, number = object(), 0
+        for ids, texts in _groups(batches):
+            for doc_id, value in zip(ids, encode(texts), strict=True):
+                number = number + 1 if doc_id == last else 0
+                last = doc_id
+                yield key_of(doc_id, number, part), value + tail
+
+    found, shard = rows(), 0
+    row = next(found, None)
+    while row is not None:
+        uri, first = f"{folder}/shard-{part:06d}-{shard:04d}.sst", row[0]
+        with new_file(uri) as out:
+            writer = ShardWriter(out, encode.width)
+            while row is not None and writer.at < ROLL:
+                writer.add(*row)
+                row = next(found, None)
+            writer.close()
         yield pa.RecordBatch.from_pydict({"path": [uri], "first_key": [first], "docs": [writer.docs], "tokens": [writer.tokens]})
+        shard += 1
 
 
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Manifest (path, first_key, docs, tokens, start) of the shards of all rows in ascending id order.
 
-    Null text is empty, null ids come first, rows of equal id are told apart by a number in order of
-    text; empty partitions write no file. ``start`` is the number of ids in all shards before.
+    Null text is empty, null ids come first, rows of equal id stand in order of a hash of their
+    text. Rows are dealt by id, that hash and their place in the scan, so that many rows of one id,
+    or many equal rows, spread over parts too; a part closes a shard at ROLL bytes, empty parts
+    write none. ``start`` is the number of ids in all shards before. Other columns are ignored, an
+    empty table gives an empty manifest.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange(shuffle_partitions(spark), "id").sortWithinPartitions("id", F.xxhash64("text"), "text")
+    rows = fields(docs, id_col, text_col)
+    rows = rows.select(F.col("f0").cast("long").alias("id"), F.coalesce(F.col("f1").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumns({"order": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    dealt = rows.repartitionByRange(shuffle_partitions(spark), "id", "order", "place").sortWithinPartitions("id", "order", "place").select("id", "text")
     manifest = dealt.mapInArrow(lambda it: _write(folder, tokenizer, end_id, it), "path string, first_key binary, docs long, tokens long")
     manifest = materialise(manifest, "sst-manifest")
     # One row a shard: few enough for one task.
@@ -327,7 +400,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, read back from the shards."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document, read back from the shards.
+
+    Each row of ids that are null or repeat has a row; an empty manifest gives none. A shard that is
+    cut short, or whose block differs from its checksum, raises.
+    """
     paths = manifest.select("path", "start").repartition(shuffle_partitions(manifest.sparkSession), "path")
     return paths.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
