@@ -39,3 +39,10 @@ def open_file(uri: str):
     """A seekable file."""
     system, path = filesystem(uri)
     return system.open_input_file(path)
+
+
+def files_in(folder: str, ending: str) -> list[str]:
+    """The whole files of a folder, in order of name; none if there is no such folder."""
+    system, path = filesystem(folder)
+    found = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    return sorted(f"{folder}/{x.base_name}" for x in found if x.type == fs.FileType.File and x.base_name.endswith(ending))

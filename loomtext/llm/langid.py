@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.llm.columns import fields, numbered, place_of
+
 #: Letters fall in LETTERS classes (0 is a word's edge): a to z have one each, others share the rest by a hash.
 LETTERS, DIMENSIONS, SEED = 128, 512, 7
 #: Each worker keeps the vectors of so many n-grams; others are bound anew.
@@ -132,7 +134,7 @@ def learn_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     Each partition sums its own and the sums meet by language and dimension, so only
     languages x dimensions numbers reach the driver. Null languages and texts without letters teach nothing.
     """
-    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = fields(docs, text_col, lang_col).where("f1 is not null").select(F.col("f0").cast("string").alias("text"), F.col("f1").cast("string").alias("lang"))
     sums = rows.mapInArrow(_learn, "lang string, profile array<double>").select("lang", F.posexplode("profile").alias("at", "x"))
     found: dict[str, np.ndarray] = {}
     for r in sums.groupBy("lang", "at").agg(F.sum("x").alias("x")).collect():
@@ -156,7 +158,7 @@ def identify(docs: DataFrame, prototypes: Prototypes, id_col: str = "doc_id", te
             columns = [pa.array(x, k) for x, k in zip(zip(*found, strict=True) if found else [[]] * 3, (pa.string(), pa.float64(), pa.float64()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "held_out", "lang_pred", "score", "cosine"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    rows = fields(docs, id_col, text_col).select(F.col("f0").cast("long").alias("doc_id"), held_out("f0").alias("held_out"), F.col("f1").cast("string").alias("text"))
     return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, cosine double")
 
 
@@ -166,17 +168,27 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Null texts and texts without letters are ``und`` with score 0, as is everything if nothing could
     be learned. Rows and ids may repeat or be null; an empty table gives no rows.
     """
-    taught = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col))
-    return identify(docs, learn_prototypes(taught, text_col, lang_col), id_col, text_col)
+    return identify(docs, _taught(docs, id_col, text_col, lang_col), id_col, text_col)
+
+
+def _taught(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Prototypes:
+    """Prototypes of the rows that are not held out; rows without an id teach nothing."""
+    rows = fields(docs, id_col, text_col, lang_col)
+    return learn_prototypes(rows.where(F.col("f0").isNotNull() & ~held_out("f0")), "f1", "f2")
 
 
 def reject_unidentified(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that are not ``und`` and whose best cosine is ``least`` or more, if they have TELLING trigrams."""
-    prototypes = learn_prototypes(docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)), text_col, lang_col)
+    """The rows of ``docs`` that are not ``und`` and whose best cosine is ``least`` or more, if they have TELLING trigrams.
+
+    So null and empty texts and those without letters go, as does everything if nothing could be
+    learned. Rows that repeat or have a null id are decided each by its text, other columns stay
+    whatever their names, and an empty table gives an empty one.
+    """
+    prototypes = _taught(docs, id_col, text_col, lang_col)
 
     @F.udf("boolean", useArrow=True)
     def kept(text: str | None) -> bool:
         name, _, cosine = prototypes.predict(text)
         return name != UNKNOWN and (cosine >= least or len(ngrams(text)) < TELLING)
 
-    return docs.where(kept(F.col(text_col).cast("string")))
+    return numbered(docs).where(kept(F.col(f"c{place_of(docs, text_col)}").cast("string"))).toDF(*docs.columns)

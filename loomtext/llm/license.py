@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.llm.columns import fields
+
 # The base phrases and their labels.
 BASE = {
     "gnu general public license": "gpl",
@@ -53,43 +55,47 @@ _TOKEN = re.compile(r"[ \t]*(?:(\()|(\))|([A-Za-z0-9][A-Za-z0-9.+:-]*))")
 def parse_expression(text: str) -> list[str] | None:
     """The expression at the start of ``text`` in postfix order, by shunting-yard; None if there is none.
 
-    WITH binds closer than AND, AND closer than OR; operators count in any case. What follows the
-    longest well-formed beginning (a comment's end, a word) is left out.
+    WITH binds closer than AND, AND closer than OR; operators count in any case. WITH joins one
+    licence's name and one exception's, never a group. What follows the longest well-formed
+    beginning (a comment's end, a word, a WITH of something else) is left out. Linear in the text.
     """
     rank = {"or": 1, "and": 2, "with": 3}
     out: list[str] = []
     ops: list[str] = []
-    best: list[str] | None = None
-    at, operand = 0, True
+    best: tuple[int, list[str]] | None = None
+    at, open_, last = 0, 0, "operator"
     while m := _TOKEN.match(text, at):
         at = m.end()
         word = (m[3] or "").lower().rstrip(".:-")
-        if m[1] and operand:
+        if m[1] and last == "operator":
             ops.append("(")
+            open_ += 1
             continue
-        if m[2] and not operand and "(" in ops:
+        if m[2] and last in ("name", "exception", "group") and open_:
             while (op := ops.pop()) != "(":
                 out.append(op)
-        elif word and operand and word not in rank:
+            open_, last = open_ - 1, "group"
+        elif word and word not in rank and last in ("operator", "with"):
             out.append(word)
-            operand = False
-        elif word in rank and not operand:
+            last = "exception" if last == "with" else "name"
+        elif word in rank and (last == "name" if word == "with" else last in ("name", "exception", "group")):
             while ops and ops[-1] != "(" and rank[ops[-1]] >= rank[word]:
                 out.append(ops.pop())
             ops.append(word)
-            operand = True
+            last = "with" if word == "with" else "operator"
             continue
         else:
             break
-        if "(" not in ops:
-            best = out + ops[::-1]
-    return best
+        if not open_:
+            best = len(out), ops[::-1]  # three operators at most, as each binds closer than the one below it
+    return None if best is None else out[: best[0]] + best[1]
 
 
 def evaluate(postfix: list[str]) -> tuple[set[str], bool]:
     """The licences that an expression names, and whether it allows a permissive choice.
 
-    OR needs one permissive side, AND both; WITH adds an exception to the licence before it.
+    OR needs one permissive side, AND both; WITH adds an exception to the licence before it, so an
+    expression never has more names than words.
     """
     stack: list[tuple[set[str], bool]] = []
     for word in postfix:
@@ -98,9 +104,13 @@ def evaluate(postfix: list[str]) -> tuple[set[str], bool]:
                 raise ValueError("malformed expression")
             (b, free_b), (a, free_a) = stack.pop(), stack.pop()
             if word == "with":
-                stack.append(({f"{x}-with-{y}" for x in a for y in b}, free_a))
+                if len(a) != 1 or len(b) != 1:
+                    raise ValueError("WITH joins a licence and an exception")
+                stack.append(({f"{min(a)}-with-{min(b)}"}, free_a))
             else:
-                stack.append((a | b, free_a or free_b if word == "or" else free_a and free_b))
+                few, many = (a, b) if len(a) < len(b) else (b, a)
+                many |= few
+                stack.append((many, free_a or free_b if word == "or" else free_a and free_b))
         else:
             stack.append(({word}, word.startswith(PERMISSIVE)))
     if len(stack) != 1:
@@ -167,5 +177,5 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null text is empty: no words, null places, empty labels, score 0. Rows and ids may repeat or be
     null; other columns are ignored; an empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = fields(docs, id_col, text_col).select(F.col("f0").cast("long").alias("doc_id"), F.col("f1").cast("string").alias("text"))
     return rows.mapInArrow(_scan, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, permissive boolean, score double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.llm.columns import fields, numbered, place_of
 from loomtext.plans.runtime import materialise
 
 WORDS = r"[^\\x20\\x09-\\x0D]+"
@@ -38,6 +39,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     return w.withColumn("target", F.least(F.col("source_size") * F.lit(float(cap)), level * F.col("w"))).select("source", "source_size", "target")
 
 
+def _random(doc_id: str, text: str, seed: int) -> Column:
+    """32 hex digits that hang on seed, id and text alone."""
+    whole = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), whole))
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, copies, h) of every row of ``docs``.
 
@@ -48,9 +55,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
     nearest to the rest. Random numbers are MD5 of seed, id and text, so reruns agree. Null text
     has size 0, null sources are one source, ids may repeat or be null, an empty table gives none.
     """
-    spark_text = F.col(text_col).cast("string")
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(spark_text, F.lit("")))))
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.expr(f"cast(coalesce(regexp_count(cast(`{text_col}` as string), '{WORDS}'), 0) as bigint)").alias("size"), h.alias("h"))
+    sized = fields(docs, id_col, text_col, source_col)
+    sized = sized.select(F.col("f0").alias("doc_id"), F.col("f2").alias("source"), F.expr(f"cast(coalesce(regexp_count(cast(f1 as string), '{WORDS}'), 0) as bigint)").alias("size"), _random("f0", "f1", seed).alias("h"))
     sized = materialise(sized.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), "mix-sizes")
     sources = source_targets(sized.groupBy("key", "source").agg(F.sum("size").alias("source_size")).drop("key"), weights, cap)
     sources = sources.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source")
@@ -88,12 +94,18 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
 
 
 def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; rows that repeat id and text get the same number."""
+    """The rows of ``docs``, each as often as the mix takes it; rows that repeat id and text get the same number.
+
+    Texts without words are never taken. Null sources are one source, null ids and repeated rows
+    count each, columns keep their names whatever they are, and an empty table gives an empty one.
+    """
     mixed = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed)
-    number = mixed.groupBy("h").agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
-    joined = docs.withColumn("h__", h).join(number.withColumnRenamed("h", "h__"), "h__")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    number = mixed.groupBy("h").agg(F.max("copies").alias("copies")).where("copies > 0")
+    plain = numbered(docs)
+    h = _random(f"c{place_of(docs, id_col)}", f"c{place_of(docs, text_col)}", seed)
+    joined = plain.withColumn("h", h).join(number, "h")
+    taken = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return taken.select(*plain.columns).toDF(*docs.columns)
 
 
 ORACLE_SQL = r"""

@@ -7,21 +7,33 @@ import ipaddress
 import re
 from collections.abc import Iterator
 from datetime import date, timedelta
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.llm.columns import fields, numbered, place_of
+
 ROUNDS = 10
 DAY_ONE, DAYS = date(1900, 1, 1), 73_049  # to 2099-12-31
 #: For tests and the registered query; a deployment passes a key of its own.
 DEMO_KEY = b"demonstration key, not a secret"
 
 
+@cache
+def whole_key(key: bytes) -> bytes:
+    """The key as BLAKE2 takes it: longer ones are hashed, none is cut; an empty one is an error."""
+    if not key:
+        raise ValueError("pseudonyms take a key")
+    return key if len(key) <= 64 else hashlib.blake2b(key).digest()
+
+
 def feistel(key: bytes, kind: str, value: int, size: int) -> int:
     """A keyed permutation of 0..size-1, another for each kind and size: a balanced Feistel network walked until it is inside."""
     if size < 2:
         return value
+    key = whole_key(key)
     half = max(1, ((size - 1).bit_length() + 1) // 2)
     mask = (1 << half) - 1
     width = (half + 7) // 8
@@ -30,7 +42,7 @@ def feistel(key: bytes, kind: str, value: int, size: int) -> int:
         left, right = value >> half, value & mask
         for r in range(ROUNDS):
             seed = prefix + bytes([r]) + right.to_bytes(width, "big")
-            f = int.from_bytes(hashlib.blake2b(seed, digest_size=max(8, width), key=key[:64]).digest(), "big") & mask
+            f = int.from_bytes(hashlib.blake2b(seed, digest_size=max(8, width), key=key).digest(), "big") & mask
             left, right = right, left ^ f
         value = left << half | right
         if value < size:
@@ -57,6 +69,11 @@ def _card(key: bytes, found: str) -> str | None:
     return _refill(found, body + luhn_digit(body))
 
 
+def _unassigned(ten: str) -> bool:
+    """Whether area or exchange code begins with 0 or 1."""
+    return ten[0] in "01" or ten[3] in "01"
+
+
 def _phone(key: bytes, found: str) -> str | None:
     digits = re.sub(r"\D", "", found)
     if found.startswith("+") and not digits.startswith("1"):
@@ -65,8 +82,13 @@ def _phone(key: bytes, found: str) -> str | None:
         n = len(digits) - 2
         return _refill(found, digits[:2] + str(feistel(key, "phone" + digits[:2], int(digits[2:]), 10**n)).zfill(n))
     head, ten = digits[:-10], digits[-10:]
-    if len(ten) != 10 or head not in ("", "1") or ten[0] in "01" or ten[3] in "01":
+    if len(ten) != 10 or head not in ("", "1"):
         return None
+    if _unassigned(ten):  # numbers that no exchange gives out are permuted among themselves
+        value = feistel(key, "phone-", int(ten), 10**10)
+        while not _unassigned(f"{value:010d}"):
+            value = feistel(key, "phone-", value, 10**10)
+        return _refill(found, f"{head}{value:010d}")
     value = ((int(ten[:3]) - 200) * 800 + int(ten[3:6]) - 200) * 10_000 + int(ten[6:])
     value = feistel(key, "phone", value, 800 * 800 * 10_000)
     return _refill(found, head + f"{value // 8_000_000 + 200}{value // 10_000 % 800 + 200}{value % 10_000:04d}")
@@ -128,8 +150,13 @@ def _date(key: bytes, found: str) -> str | None:
 
 
 def _email(key: bytes, found: str) -> str | None:
-    """The local part keeps its length, cases and marks; its letters and digits are permuted as one number."""
+    """The local part keeps its length, cases and marks; its letters and digits are permuted as one number. The host stays.
+
+    A local part without a letter or digit names nobody and is no value.
+    """
     local, _, host = found.rpartition("@")
+    if not any(c.isalnum() for c in local):
+        return None
     shape = re.sub("[0-9]", "0", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", local)))
     size, value = 1, 0
     for c in local:
@@ -161,24 +188,49 @@ KINDS = (
     ("card", r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", _card),
     ("phone", r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|\+[0-9]{8,15}(?![0-9])", _phone),
 )
-_START = re.compile("|".join(f"(?P<{k}>(?<![A-Za-z0-9+.@]){p})" if k == "email" else f"(?P<{k}>(?<![A-Za-z0-9]){p})" for k, p, _ in KINDS))
+_START = re.compile("|".join(f"(?P<{k}>(?<![A-Za-z0-9._%+@-]){p})" if k == "email" else f"(?P<{k}>(?<![A-Za-z0-9]){p})" for k, p, _ in KINDS))
 _PATTERNS = [(k, re.compile(p), f) for k, p, f in KINDS]
 _MAYBE = re.compile(r"[0-9@]")
 
 
+#: Kinds written in groups, and their least letters and digits.
+LEAST = {"card": 13, "iban": 15}
+
+
+def _shorter(kind: str, found: str) -> Iterator[str]:
+    """The text found and, for groups of digits, its beginnings that end before a separator, longest first."""
+    yield found
+    if kind in LEAST:
+        left = sum(c.isalnum() for c in found)
+        for i in range(len(found) - 1, 0, -1):
+            if found[i] not in " -":
+                left -= 1
+            elif left < LEAST[kind]:
+                return
+            else:
+                yield found[:i]
+
+
 def find_values(text: str | None, key: bytes) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, pseudonym) of each validated value in a whole text, in order and apart from each other."""
+    """(start, end, kind, pseudonym) of each validated value in a whole text, in order and apart from each other.
+
+    Where a pattern covers a value and more groups after it, the longest beginning that validates
+    counts. Every pattern but an e-mail's local part and host is of bounded length, and these start
+    at one place of a run alone, so that the time is linear in the text.
+    """
     if not text or not _MAYBE.search(text):
         return []
     out, at = [], 0
     while m := _START.search(text, at):
         at = m.start() + 1
         for kind, pattern, change in _PATTERNS:
-            if (hit := pattern.match(text, m.start())) and (new := change(key, hit[0])) is not None:
-                if m.start() and text[m.start() - 1].isalnum():
-                    continue
-                out.append((hit.start(), hit.end(), kind, new))
-                at = hit.end()
+            if not (hit := pattern.match(text, m.start())):
+                continue
+            if m.start() and (text[m.start() - 1].isalnum() or kind == "email" and text[m.start() - 1] in "._%+@-"):
+                continue
+            if new := next(((len(x), y) for x in _shorter(kind, hit[0]) if (y := change(key, x)) is not None), None):
+                out.append((m.start(), m.start() + new[0], kind, new[1]))
+                at = m.start() + new[0]
                 break
     return out
 
@@ -207,11 +259,18 @@ def pseudonyms(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: st
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found, strict=True), kinds, strict=True)], ["doc_id", "start", "end", "kind", "pseudonym"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    whole_key(key)
+    rows = fields(docs, id_col, text_col).select(F.col("f0").cast("long").alias("doc_id"), F.col("f1").cast("string").alias("text"))
     return rows.mapInArrow(find, "doc_id long, start long, end long, kind string, pseudonym string")
 
 
 def pseudonymise_texts(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
-    """``docs`` with every validated value of its texts replaced."""
+    """``docs`` with every validated value of its texts replaced.
+
+    Every row stays, repeated ones alike; null and empty texts stay as they are, and so do all other
+    columns, whatever their names. An empty table gives an empty one.
+    """
+    whole_key(key)
     change = F.udf(lambda t: pseudonymise(t, key), "string", useArrow=True)
-    return docs.withColumn(text_col, change(F.col(text_col).cast("string")))
+    plain, text = numbered(docs), f"c{place_of(docs, text_col)}"
+    return plain.withColumn(text, change(F.col(text).cast("string"))).toDF(*docs.columns)

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.llm.columns import fields
+
 #: Training rows: so many trusted positives and so many unlabelled texts at most, by smallest hash of their id.
 POSITIVES, UNLABELLED, SEED = 4000, 8000, 11
 #: Characters fall in KINDS kinds; a text's features are shares of pairs of kinds and of words' shapes.
@@ -148,18 +150,22 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     """Fits on bounded samples: texts whose label is 1, and texts without one, of the rows that are not held out.
 
     A document that has any label 1 is positive. Both samples are those with the smallest hash of
-    their id, so they are the same on every run; documents of other labels are in neither.
+    their id, so they are the same on every run; documents of other labels are in neither. Of rows
+    that repeat an id, the one whose text hashes least teaches; null ids teach nothing.
     """
-    ids = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).cast("long").alias("id")).distinct()
-    known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).alias("label"))
+    docs, labels = fields(docs, id_col, text_col), fields(labels, id_col, label_col)
+    ids = docs.where(F.col("f0").isNotNull() & ~held_out("f0")).select(F.col("f0").cast("long").alias("id")).distinct()
+    known = labels.where(F.col("f0").isNotNull()).groupBy(F.col("f0").cast("long").alias("id")).agg(F.max("f1").alias("label"))
     draw = F.xxhash64("id", F.lit(SEED))
     chosen = None
     for positive, rows, limit in ((True, ids.join(known.where("label = 1"), "id", "left_semi"), positives), (False, ids.join(known, "id", "left_anti"), unlabelled)):
         part = rows.orderBy(draw, "id").limit(limit).withColumn("positive", F.lit(positive))
         chosen = part if chosen is None else chosen.unionByName(part)
-    # At most positives + unlabelled ids: a proven bound.
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = text.join(F.broadcast(chosen), "id").select("positive", "text").mapInArrow(_features, "positive boolean, x binary").toArrow()
+    # At most positives + unlabelled ids, and of each one row alone: a proven bound for the broadcast and for the driver.
+    text = docs.select(F.col("f0").cast("long").alias("id"), F.col("f1").cast("string").alias("text"))
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least")
+    rows = text.join(F.broadcast(chosen), "id").groupBy("id", "positive").agg(least).select("positive", "least.text")
+    rows = rows.mapInArrow(_features, "positive boolean, x binary").toArrow()
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), dtype=np.float32).reshape(-1, WIDTH)
     is_positive = np.array(rows["positive"].to_pylist(), dtype=bool)
     return fit(_sorted(x[is_positive]), _sorted(x[~is_positive]))
@@ -184,5 +190,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             s = np.concatenate(parts) if parts else np.empty(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    rows = fields(docs, id_col, text_col).select(F.col("f0").cast("long").alias("doc_id"), held_out("f0").alias("held_out"), F.col("f1").cast("string").alias("text"))
     return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")

@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.llm.columns import fields
 from loomtext.llm.files import new_file, open_file
 from loomtext.plans.runtime import fresh_path, materialise, shuffle_partitions
 
@@ -205,8 +206,8 @@ def write_archives(pages: DataFrame, folder: str, min_payload: int = 0) -> DataF
     no target; an empty table writes no file; other columns are ignored.
     """
     spark = pages.sparkSession
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("d", F.sha1("html"))
+    html = F.coalesce(F.col("f2").cast("string"), F.lit(""))
+    rows = fields(pages, "page_id", "url", "html").select(F.col("f0").cast("long").alias("page_id"), F.col("f1").cast("string").alias("url"), html.alias("html")).withColumn("d", F.sha1("html"))
     counts = rows.where(F.octet_length("html") >= min_payload).groupBy("d", "page_id").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col("page_id").isNull().alias("late"), "page_id", "n"))
     groups = counts.groupBy("d").agg(first.alias("f"), F.sum("n").alias("rows")).where("rows > 1")
@@ -253,7 +254,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(manifest: DataFrame) -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to) of every record.
 
-    ``payload`` is null for revisits; bytes and digest are the full payload's.
+    ``payload`` is null for revisits; bytes and digest are the full payload's. Null ids and urls read
+    back as null, repeated rows as often as they were written; an empty manifest gives no rows, and
+    a damaged archive raises with the record's number.
     """
     paths = manifest.select("path").repartition(shuffle_partitions(manifest.sparkSession), "path")
     return paths.mapInArrow(_read, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")

@@ -135,13 +135,40 @@ def test_top_k_against_brute_force(spark, chunk):
     rows = [(i, [r.uniform(-1, 1) for _ in range(4)]) for i in range(700)] + [(20, [0.5, 0.5, 0.5, 0.5])] * 2 + [(None, [1.0] * 4), (40, None), (60, [float("nan")] * 4), (81, [0.25, 0.5])]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=5, chunk=chunk).collect()
     f = lambda v: [int(np.floor(64 * float(np.float32(x)))) for x in v] + [0] * (4 - len(v))
-    use = [(i, f(v)) for i, v in rows if i is not None and v is not None and not np.isnan(v).any()]
+    use = [(i, f(v)) for i, v in rows if v is not None and not np.isnan(v).any()]
     want = []
     for a, (i, v) in enumerate(use):
-        if i % 20 == 0:
-            best = sorted((-sum(x * y for x, y in zip(v, w)), j) for b, (j, w) in enumerate(use) if a != b)[:5]
-            want += [(i, n, j, -s) for n, (s, j) in enumerate(best, 1)]
-    assert sorted(want) == sorted((x.query_id, x.rank, x.vec_id, x.score) for x in got)
+        if i is not None and i % 20 == 0:
+            best = sorted((-sum(x * y for x, y in zip(v, w)), j is None, j or 0) for b, (j, w) in enumerate(use) if a != b)[:5]
+            want += [(i, n, None if none else j, -s) for n, (s, none, j) in enumerate(best, 1)]
+    assert any(x[2] is None for x in want)
+    assert sorted(map(str, want)) == sorted(str((x.query_id, x.rank, x.vec_id, x.score)) for x in got)
+
+
+def test_top_k_skips_blocks_of_clusters():
+    r = np.random.default_rng(0)
+    centres = r.integers(-40, 40, (30, 16))
+    vectors = np.concatenate([c + r.integers(-3, 4, (50, 16)) for c in centres])
+    blocks = []
+    for at in range(0, len(vectors), 50):
+        m = vectors[at : at + 50].astype(np.int64)
+        parts = {"ids": np.arange(at, at + 50), "none": np.zeros(50, dtype=bool), "counts": np.ones(50, dtype=np.int64), "vectors": m, "low": m.min(axis=0), "high": m.max(axis=0)}
+        blocks.append({"width": 16} | {k: x.tobytes() for k, x in parts.items()})
+    q = np.arange(0, len(vectors), 20)
+    search = topk.Search(q, vectors[q].astype(np.int64), np.ones(len(q), dtype=np.int64), 20)
+    search.blocks(blocks)
+    assert search.scored < len(q) * len(vectors) / 4
+    score = vectors[q] @ vectors.T
+    for i, a in enumerate(q.tolist()):
+        want = sorted((-s, j) for j, s in enumerate(score[i].tolist()) if j != a)[:20]
+        assert [(-s, j) for s, j in zip(search.score[search.q == i].tolist(), search.id[search.q == i].tolist())] == want
+
+
+def test_top_k_of_an_empty_table_and_clashing_columns(spark):
+    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+    rows = [(i, [float(i)], i, "x") for i in range(0, 60, 20)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int, `q.n` string"), k=1).collect()
+    assert sorted((x.query_id, x.vec_id) for x in got) == [(0, 20), (20, 40), (40, 20)]
 
 
 def test_decontamination_tolerates_substitutions(spark):

@@ -96,10 +96,13 @@ def test_links_of_dense_clusters_connect_what_all_pairs_connect(spark, bucket):
 
 
 def test_keeps_one_row_of_each_class(spark):
-    df = spark.createDataFrame([(3, "a b c d e", "en", "", ""), (1, "A b c d e", "en", "", ""), (1, "zz", "en", "", ""), (None, None, "x", "", ""), (9, "other words are here", "de", "", "")], SCHEMA)
+    rows = [(3, "a b c d e"), (1, "A b c d e"), (1, "zz"), (5, "zz"), (None, None), (None, ""), (None, "solo text"), (None, "solo text"), (9, "other words are here"), (9, "other words are here"), (None, "a b c d e")]
+    df = spark.createDataFrame([(*r, "en", "", "") for r in rows], "doc_id long, text string, `again` string, `mark.id` string, c0 string")
     kept = simhash.drop_near_duplicates(df)
     assert kept.columns == df.columns
-    assert sorted((str(r.doc_id), r.text) for r in kept.collect() if r.text) == [("1", "A b c d e"), ("9", "other words are here")]
+    got = sorted((str(r[0]), r[1]) for r in kept.collect())
+    assert [x for x in got if x[1]] == [("1", "A b c d e"), ("1", "zz"), ("9", "other words are here"), ("None", "solo text")]
+    assert len(got) == 5  # one of null and empty
 
 
 def test_empty_table(spark):
