@@ -223,10 +223,9 @@ def find_values(text: str | None, key: bytes) -> list[tuple[int, int, str, str]]
     out, at = [], 0
     while m := _START.search(text, at):
         at = m.start() + 1
+        before = text[m.start() - 1] if m.start() else " "
         for kind, pattern, change in _PATTERNS:
-            if not (hit := pattern.match(text, m.start())):
-                continue
-            if m.start() and (text[m.start() - 1].isalnum() or kind == "email" and text[m.start() - 1] in "._%+@-"):
+            if before.isalnum() or kind == "email" and before in "._%+@-" or not (hit := pattern.match(text, m.start())):
                 continue
             if new := next(((len(x), y) for x in _shorter(kind, hit[0]) if (y := change(key, x)) is not None), None):
                 out.append((m.start(), m.start() + new[0], kind, new[1]))
