@@ -6,7 +6,7 @@ import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Character classes under which Java's patterns see what Unicode-aware ones see.
 WS = r"[\s\p{Z}\x0B\x1C-\x1F\x85]"
@@ -21,6 +21,7 @@ CLOSING, FLAGGED = ",.;:!?%", ",.;:!?"
 # Both name their text once: a native path beside Python's for plain strings would name it three times,
 # and Catalyst writes out whole chains of patterns for each, which costs far more than an Arrow batch.
 _nfkc = F.udf(lambda s: None if s is None else unicodedata.normalize("NFKC", s), StringType(), useArrow=True)
+_carried = F.udf(lambda s: None if s is None else (s, unicodedata.normalize("NFKC", s)), StructType([StructField("text", StringType()), StructField("nfkc", StringType())]), useArrow=True)
 _fold = F.udf(lambda s: None if s is None else s.casefold(), StringType(), useArrow=True)
 
 
@@ -45,18 +46,27 @@ def strip(x: Column | str) -> Column:
 
 def collapse(x: Column | str) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return strip(F.regexp_replace(_col(x), f"{WS}+", " "))
+    return F.trim(F.regexp_replace(_col(x), f"{WS}+", " "))
+
+
+def carried(x: Column | str) -> Column:
+    """A struct of the text and its NFKC: a step in Python, so that the text's patterns are not written out for each use."""
+    return _carried(_col(x))
 
 
 def detokenize(x: Column | str) -> Column:
     """Undoes spacing round punctuation, brackets, contractions and hyphens, in NFKC; null stays null."""
-    t = collapse(nfkc(x))
+    return attach(nfkc(x))
+
+
+def attach(x: Column | str) -> Column:
+    """The same for a text that is in NFKC. No step after the first leaves a run of spaces or one at an end."""
+    t = collapse(x)
     t = F.regexp_replace(t, f"{WS}+([{CLOSING}])", "$1")
     t = F.regexp_replace(t, rf"([({{\[]){WS}+", "$1")
     t = F.regexp_replace(t, rf"{WS}+([)}}\]])", "$1")
     t = F.regexp_replace(t, rf"(?i)(?<!{WORD})([a-z]+){WS}+'{WS}*({CONTRACTIONS})(?!{WORD})", "$1'$2")
-    t = F.regexp_replace(t, rf"(?<={WORD}){WS}+-{WS}+(?={WORD})", "-")
-    return collapse(t)
+    return F.regexp_replace(t, rf"(?<={WORD}){WS}+-{WS}+(?={WORD})", "-")
 
 
 def strip_citations(x: Column | str) -> Column:

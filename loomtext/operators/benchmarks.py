@@ -102,13 +102,25 @@ def rating_summary(rows: DataFrame, by: Sequence[str], ratings: Sequence[str], f
     return rows.groupBy(*by).agg(F.count("*").alias("rows"), *(F.avg(c).alias(f"mean_{c}") for c in ratings), *(F.avg(F.col(c).cast("double")).alias(f"share_{c}") for c in flags))
 
 
-def agreement(rows: DataFrame, item: str, reviewer: str, value: str) -> DataFrame:
-    """Krippendorff's alpha with squared differences: (alpha, items, ratings, share_double).
+def agreement(rows: DataFrame, item: str, reviewer: str, value: str, level: str = "ordinal") -> DataFrame:
+    """Krippendorff's alpha: (alpha, items, ratings, share_double).
 
-    Sums of values and squares by item carry the whole coincidence matrix: an item with m ratings
+    ``level`` interval takes squared differences of values, ordinal those of their middle ranks among
+    all ratings of items that have two or more, which is the ordinal difference. Sums of values and squares by item carry the whole coincidence matrix: an item with m ratings
     holds m * sum(v^2) - sum(v)^2 squared difference over m - 1. Items with one rating do not count.
     """
+    if level not in ("ordinal", "interval"):
+        raise ValueError(f"unknown level: {level}")
     v = F.col(value).cast("double")
+    if level == "ordinal":
+        rated = rows.where(v.isNotNull())
+        double = rated.groupBy(item).count().where("count > 1").select(item)
+        counts = rated.join(double, item, "left_semi").groupBy(v.alias("rating")).agg(F.count("*").alias("n"))
+        # A scale has a few values: few enough for one task.
+        upto = F.sum("n").over(Window.orderBy("rating"))
+        ranks = counts.select("rating", (upto - F.col("n") / 2).alias("rank"))
+        rows = rows.withColumn("rating", v).join(F.broadcast(ranks), "rating", "left")
+        v = F.when(F.col("rating").isNotNull(), F.coalesce("rank", F.lit(0.0)))
     items = rows.where(v.isNotNull()).groupBy(item).agg(F.countDistinct(reviewer).alias("m"), F.count("*").alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
     two = F.col("n") > 1
     n, s, q = (F.sum(F.when(two, F.col(c))) for c in "nsq")
@@ -139,6 +151,7 @@ def contamination_contains(train: DataFrame, benchmark: DataFrame, train_id: str
     items = T.with_key(benchmark.select(F.col(item_id).alias("item"), F.col(bench_text).alias("t")), item_key="t").where("item_key <> ''")
     items = items.withColumn("w", F.split("item_key", " ")).withColumn("len", F.least(F.size("w"), F.lit(words)))
     items = items.select("item", "item_key", "len", F.xxhash64(F.array_join(F.expr("slice(w, 1, len)"), " ")).alias("h"))
+    items = materialise(items, "contains-items")  # its size is known then, so that few items are broadcast and windows not shuffled
     lengths = [r[0] for r in items.select("len").distinct().collect()]  # at most ``words`` numbers
     keys = T.with_key(train.select(F.col(train_id).alias("train"), F.col(train_text).alias("t")), text_key="t")
     keys = materialise(keys.where("text_key <> ''").select("train", "text_key"), "contains-keys")
@@ -169,8 +182,12 @@ def release_check(files: DataFrame, card: str | None) -> dict[str, list[str]]:
     return {"missing": missing, "placeholders": ["card"] if card is None else [w for w in PLACEHOLDERS if w in card]}
 
 
-def translate(rows: DataFrame, model: Callable[[list[str]], list[str]] | None = None, text_col: str = "source", out_col: str = "prediction", batch_size: int = 16) -> DataFrame:
-    """``rows`` with a model's stripped output: batches of ``batch_size`` texts in order; without a model, a copy."""
+def translate(rows: DataFrame, model: Callable[..., list[str]] | None = None, text_col: str = "source", out_col: str = "prediction", batch_size: int = 16, by_direction: bool = False, **generation) -> DataFrame:
+    """``rows`` with a model's stripped output: batches of ``batch_size`` texts in order; without a model, a copy.
+
+    ``generation`` (beams, lengths and the like) goes to each call. With ``by_direction`` a batch
+    holds texts of one direction, which the call gets as ``direction``. Null texts are empty.
+    """
     if model is None:
         return rows.withColumn(out_col, T.strip(text_col))
     schema = rows.withColumn(out_col, F.lit("")).schema
@@ -178,7 +195,15 @@ def translate(rows: DataFrame, model: Callable[[list[str]], list[str]] | None =
     def run(frames):
         for frame in frames:
             texts = ["" if t is None else str(t) for t in frame[text_col]]
-            out = [x.strip() for at in range(0, len(texts), batch_size) for x in model(texts[at : at + batch_size])]
+            ways = frame["direction"].tolist() if by_direction else [None] * len(texts)
+            out: list[str] = [""] * len(texts)
+            for way in dict.fromkeys(ways):
+                places = [i for i, x in enumerate(ways) if x == way]
+                for at in range(0, len(places), batch_size):
+                    some = places[at : at + batch_size]
+                    found = model([texts[i] for i in some], **generation, **({"direction": way} if by_direction else {}))
+                    for i, x in zip(some, found, strict=True):
+                        out[i] = x.strip()
             yield frame.assign(**{out_col: out})
 
     return rows.mapInPandas(run, schema)

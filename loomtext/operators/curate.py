@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import text as T
 from loomtext.operators.components import connected_components
 from loomtext.plans.config import CleaningConfig, require_columns
-from loomtext.plans.runtime import materialise
+from loomtext.plans.runtime import fresh_path, materialise, numbered, parquet_batches
 
 REASONS = ("empty", "ratio_too_high", "ratio_too_low", "too_long", "too_short")
 
@@ -86,24 +86,29 @@ def conflict_groups(pairs: DataFrame) -> DataFrame:
     return out
 
 
-def _sha_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    digest, first = hashlib.sha256(), True
-    for batch in batches:
-        for s in batch.column(0).to_pylist():
-            digest.update(s.encode("utf-8") if first else b"\n" + s.encode("utf-8"))
-            first = False
-    yield pa.RecordBatch.from_pydict({"fingerprint_sha256": [digest.hexdigest()]})
+def _sha_stream(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hash of the sorted runs of a folder, one after another."""
+    for _ in batches:
+        digest, first = hashlib.sha256(), True
+        for batch in parquet_batches(folder, ["pair"]):
+            for s in batch.column(0).to_pylist():
+                digest.update(s.encode("utf-8") if first else b"\n" + s.encode("utf-8"))
+                first = False
+        yield pa.RecordBatch.from_pydict({"fingerprint_sha256": [digest.hexdigest()]})
 
 
 def fingerprint(pairs: DataFrame) -> DataFrame:
     """SHA-256 of all key pairs in order, whatever the order of rows.
 
-    The pairs are sorted in parallel; a hash is a chain, so one task streams the sorted runs and
-    holds no more than a batch. A null text counts as the word ``none``.
+    The pairs are sorted in parallel and written as runs; a hash is a chain, so one task reads these
+    one after another, sorts nothing and holds no more than a batch. A null text counts as the word
+    ``none``.
     """
     filled = pairs.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("none")) for c in ("eng", "wes")})
     rows = with_keys(filled.select("eng", "wes")).select(F.concat("eng_norm", F.char(F.lit(0)), "wes_norm").alias("pair"))
-    return rows.orderBy("pair").coalesce(1).mapInArrow(_sha_stream, "fingerprint_sha256 string")
+    folder = fresh_path(pairs.sparkSession, "sorted-pairs")
+    rows.orderBy("pair").write.parquet(folder)
+    return pairs.sparkSession.range(1, numPartitions=1).mapInArrow(lambda it: _sha_stream(folder, it), "fingerprint_sha256 string")
 
 
 def corpus_digest(pairs: DataFrame) -> DataFrame:
@@ -122,8 +127,10 @@ def judged_pairs(pairs: DataFrame, config: Mapping[str, Any] | CleaningConfig |
         x = T.detokenize(c) if config.detokenize else T.strip(c)
         return T.strip_citations(x) if config.strip_reference_noise else x
 
-    rows = rows.withColumns({"eng": cleaned("eng_raw"), "wes": cleaned("wes_raw")})
-    rows = with_keys(rows.withColumns({"eng_words": T.word_count("eng"), "wes_words": T.word_count("wes")}))
+    rows = rows.withColumns({c: T.carried(cleaned(f"{c}_raw")) for c in ("eng", "wes")})
+    rows = rows.withColumns({f"{c}_norm": T.fold_key(T.attach(F.col(f"{c}.nfkc"))) for c in ("eng", "wes")})
+    rows = rows.withColumns({c: F.col(f"{c}.text") for c in ("eng", "wes")})
+    rows = rows.withColumns({"eng_words": T.word_count("eng"), "wes_words": T.word_count("wes")})
     ratio = F.col("wes_words") / F.greatest("eng_words", F.lit(1))
     fails = {
         "empty": (F.col("eng") == "") | (F.col("wes") == ""),
@@ -138,13 +145,21 @@ def judged_pairs(pairs: DataFrame, config: Mapping[str, Any] | CleaningConfig |
 
 
 def _ranked(pairs: DataFrame, config: Mapping[str, Any] | CleaningConfig | None) -> DataFrame:
-    """Judged pairs in which later copies of an accepted key pair are marked too."""
-    rows = materialise(judged_pairs(pairs, config), "judged")  # both sides of the join read it
+    """Judged pairs in which later copies of an accepted key pair are marked too.
+
+    One row of each key pair stays: that of the smallest source_index, null ones last; of rows that
+    repeat it, the first read.
+    """
+    rows = materialise(judged_pairs(pairs, config).withColumn("row", F.monotonically_increasing_id()), "judged")
     fine = F.col("rejection_reason").isNull()
     # The first accepted row of each key pair, by a partial minimum: a hot pair is no window's partition.
-    first = rows.where(fine).groupBy("eng_norm", "wes_norm").agg(F.min("source_index").alias("first"))
-    joined = rows.join(first, ["eng_norm", "wes_norm"], "left")
-    return joined.withColumn("rejection_reason", F.when(fine & (F.col("source_index") != F.col("first")), "normalized_duplicate").otherwise(F.col("rejection_reason"))).drop("first")
+    keyed = rows.where(fine).select("eng_norm", "wes_norm", F.struct(F.col("source_index").isNull().alias("late"), "source_index", "row").alias("at"))
+    first = keyed.groupBy("eng_norm", "wes_norm").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # Whole rows meet the later copies' numbers alone.
+    later = keyed.join(first, ["eng_norm", "wes_norm"]).where("at.row <> first.row").select("at.row", F.lit(True).alias("later"))
+    joined = rows.join(materialise(later, "later-copies"), "row", "left")
+    reason = F.when(F.col("later"), "normalized_duplicate").otherwise(F.col("rejection_reason"))
+    return joined.withColumn("rejection_reason", reason).drop("row", "later")
 
 
 def clean_pairs(pairs: DataFrame, config: Mapping[str, Any] | CleaningConfig | None = None) -> DataFrame:
@@ -257,15 +272,24 @@ def verify_split(split: DataFrame) -> None:
 
 def quick_subset(split: DataFrame, train: int = 2000, others: int = 300, seed: int = 42) -> DataFrame:
     """A small run's rows: a hash sample of the train split, the first rows of the others."""
-    rows = split.where("split = 'train'").orderBy(F.xxhash64("example_id", F.lit(seed)), "example_id").limit(train)
+    rows = split.where("split = 'train'").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "example_id")), "example_id").limit(train)
     for name in ("validation", "test"):
         rows = rows.unionByName(split.where(F.col("split") == name).orderBy("source_index").limit(others))
     return rows
 
 
+def _random_order(seed: int, key: str) -> tuple[Column, str]:
+    return F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key)), 256), key
+
+
 def shuffled(rows: DataFrame, seed: int = 42, key: str = "example_id") -> DataFrame:
     """Rows in a fixed random order of their ids."""
-    return rows.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key)), 256), key)
+    return rows.orderBy(*_random_order(seed, key))
+
+
+def shuffled_places(rows: DataFrame, seed: int = 42, key: str = "example_id") -> DataFrame:
+    """``rows`` with ``place``: their number in that order, from 1."""
+    return numbered(rows, *_random_order(seed, key)).withColumn("place", F.col("place") + 1)
 
 
 def public_split(split: DataFrame) -> DataFrame:

@@ -6,19 +6,18 @@ import math
 import random
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from loomtext.functions import text as T
 from loomtext.functions.mt_stats import BETA, BLEU_ORDER, STATS, WIDTHS
 from loomtext.plans.config import require_columns
-from loomtext.plans.runtime import materialise
+from loomtext.plans.runtime import materialise, numbered
 
 METRICS = ("chrf_plus_plus", "sacrebleu", "ter")
-#: Draws (samples x rows) that the exact-seed mode makes on the driver at most.
-EXACT_DRAWS = 5_000_000
 DESCRIPTORS = {
     "sacrebleu": "BLEU|orders:4|tok:13a|effective order|smooth:exp",
     "chrf_plus_plus": "chrF|chars:6|words:2|beta:2|case:mixed|space:no",
@@ -121,36 +120,37 @@ def _check(metric: str, samples: int, rows: DataFrame) -> None:
         raise ValueError("a bootstrap takes at least one row")
 
 
+def _replayed(samples: int, seed: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(direction, sample, row, weight) of directions (direction, n), as ``random`` draws them one after another."""
+    for batch in batches:
+        for direction, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rng = random.Random(seed)
+            for s in range(samples):
+                counts = np.bincount(np.fromiter((rng.randrange(n) for _ in range(n)), dtype=np.int64, count=n), minlength=n)
+                row = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array([direction] * len(row)), pa.array(np.full(len(row), s, dtype=np.int32)), pa.array(row), pa.array(counts[row])], ["direction", "sample", "row", "weight"])
+
+
 def _draws(stats: DataFrame, samples: int, seed: int, exact: bool) -> DataFrame:
     """``stats`` (direction, id, ...) with ``sample`` and ``weight``: how often a resample draws the row.
 
-    Rows are numbered by id within their direction. ``exact`` replays the generator of Python's
-    ``random`` on the driver, which bounds samples x rows; otherwise draw k of sample s is a hash of
-    seed, s and k, made on the executors.
+    Draw k of sample s is a hash of seed, s and k, and rows are numbered by id within their
+    direction. ``exact`` replays the generator of Python's ``random`` instead, in one task a
+    direction, a sample at a time, and numbers rows in the order in which they were read.
     """
-    spark = stats.sparkSession
-    numbered = stats.withColumn("row", F.row_number().over(Window.partitionBy("direction").orderBy("id")) - 1)
-    numbered = materialise(numbered, "bootstrap-rows")
-    sizes = numbered.groupBy("direction").agg(F.count("*").alias("n"))
+    order = "read" if exact else "id"
+    rows = numbered(stats, "direction", order, name="row")
+    sizes = rows.groupBy("direction").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    rows = materialise(rows.join(F.broadcast(sizes.select("direction", "first")), "direction").withColumn("row", F.col("row") - F.col("first")), "bootstrap-rows")
+    sizes = sizes.drop("first")  # one row a direction
     if exact:
-        parts = []
-        for r in sizes.collect():  # one row a direction
-            if samples * r["n"] > EXACT_DRAWS:
-                raise ValueError("too many draws for exact seeds; use exact=False")
-            rng = random.Random(seed)
-            for s in range(samples):
-                counts: dict[int, int] = {}
-                for _ in range(r["n"]):
-                    k = rng.randrange(r["n"])
-                    counts[k] = counts.get(k, 0) + 1
-                parts += [(r["direction"], s, k, w) for k, w in counts.items()]
-        drawn = spark.createDataFrame(parts, "direction string, sample int, row int, weight long")
+        drawn = sizes.repartition("direction").mapInArrow(lambda it: _replayed(samples, seed, it), "direction string, sample int, row long, weight long")
     else:
         grid = sizes.select("direction", "n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
         grid = grid.repartition("direction", "sample").select("direction", "sample", "n", F.explode(F.expr("sequence(0L, n - 1)")).alias("k"))
         h = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("sample").cast("string"), F.col("k").cast("string")), 256), 1, 15), 16, 10).cast("long")
-        drawn = grid.select("direction", "sample", (h % F.col("n")).cast("int").alias("row")).groupBy("direction", "sample", "row").agg(F.count("*").alias("weight"))
-    return drawn.join(numbered, ["direction", "row"])
+        drawn = grid.select("direction", "sample", (h % F.col("n")).alias("row")).groupBy("direction", "sample", "row").agg(F.count("*").alias("weight"))
+    return drawn.join(rows, ["direction", "row"])
 
 
 def _interval(scores: DataFrame, value: str, samples: int, confidence: float) -> DataFrame:
@@ -165,7 +165,7 @@ def _interval(scores: DataFrame, value: str, samples: int, confidence: float) ->
 def bootstrap_interval(predictions: DataFrame, metric: str = "chrf_plus_plus", samples: int = 1000, seed: int = 42, confidence: float = 0.95, exact: bool = False) -> DataFrame:
     """One row a direction: estimate, lower, upper, confidence, samples."""
     _check(metric, samples, predictions)
-    stats = materialise(row_stats(predictions, [metric]), "bootstrap-stats")
+    stats = materialise(row_stats(predictions.withColumn("read", F.monotonically_increasing_id()), [metric], ("read", "id", "direction")), "bootstrap-stats")
     point = stats.groupBy("direction").agg(SCORES[metric](_sums(metric)).alias("estimate"))
     drawn = _draws(stats, samples, seed, exact).groupBy("direction", "sample").agg(_sums(metric, F.col("weight")).alias("s"))
     scores = drawn.select("direction", SCORES[metric](F.col("s")).alias("score"))
@@ -173,8 +173,8 @@ def bootstrap_interval(predictions: DataFrame, metric: str = "chrf_plus_plus", s
     return out.select("direction", "estimate", "lower", "upper", F.lit(confidence).alias("confidence"), F.lit(samples).alias("samples"))
 
 
-def aligned_systems(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Both systems' predictions joined one to one on id and direction.
+def aligned_systems(a: DataFrame, b: DataFrame, numbered_rows: bool = False) -> DataFrame:
+    """Both systems' predictions joined one to one on id and direction; ``read`` numbers them as A's were read, if asked for.
 
     Raises if a side repeats a row, if the sides hold different rows, or if their references differ.
     """
@@ -183,22 +183,22 @@ def aligned_systems(a: DataFrame, b: DataFrame) -> DataFrame:
         require_columns(side, needed, name)
         if not side.groupBy("id", "direction").count().where("count > 1").isEmpty():
             raise ValueError(f"{name} repeats an id and direction")
-    left = a.select("id", "direction", F.col("reference").alias("reference_a"), F.col("prediction").alias("prediction_a"), F.lit(1).alias("in_a"))
+    left = a.select("id", "direction", F.monotonically_increasing_id().alias("read"), F.col("reference").alias("reference_a"), F.col("prediction").alias("prediction_a"), F.lit(1).alias("in_a"))
     right = b.select("id", "direction", F.col("reference").alias("reference_b"), F.col("prediction").alias("prediction_b"), F.lit(1).alias("in_b"))
     both = materialise(left.join(right, ["id", "direction"], "full"), "aligned")
     if not both.where("in_a is null or in_b is null").isEmpty():
         raise ValueError("the systems do not hold the same ids and directions")
     if not both.where("not (cast(reference_a as string) <=> cast(reference_b as string))").isEmpty():
         raise ValueError("the systems' references differ")
-    return both.select("id", "direction", F.col("reference_a").alias("reference"), "prediction_a", "prediction_b")
+    return both.select("id", "direction", F.col("reference_a").alias("reference"), "prediction_a", "prediction_b", *(["read"] if numbered_rows else []))
 
 
 def paired_bootstrap(a: DataFrame, b: DataFrame, metric: str = "chrf_plus_plus", samples: int = 1000, seed: int = 42, confidence: float = 0.95, exact: bool = False) -> DataFrame:
     """One row a direction: both scores, their difference with its interval and two-sided p, from the same resamples."""
-    both = aligned_systems(a, b)
+    both = aligned_systems(a, b, numbered_rows=True)
     _check(metric, samples, both)
-    sides = [row_stats(both.withColumnRenamed(f"prediction_{x}", "prediction"), [metric]).withColumnRenamed(metric, f"s{x}") for x in "ab"]
-    stats = materialise(sides[0].join(sides[1], ["id", "direction"]), "paired-stats")
+    sides = [row_stats(both.withColumnRenamed(f"prediction_{x}", "prediction"), [metric], ("read", "id", "direction")).withColumnRenamed(metric, f"s{x}") for x in "ab"]
+    stats = materialise(sides[0].join(sides[1].drop("read"), ["id", "direction"]), "paired-stats")
     score = lambda x, w=None: SCORES[metric](F.array(*(F.sum(F.get(F.col(f"s{x}"), F.lit(i)) * (1 if w is None else F.col(w))) for i in range(WIDTHS[metric]))))
     point = stats.groupBy("direction").agg(F.count("*").alias("count"), score("a").alias("score_a"), score("b").alias("score_b"))
     drawn = _draws(stats, samples, seed, exact).groupBy("direction", "sample").agg(score("a", "weight").alias("x"), score("b", "weight").alias("y"))

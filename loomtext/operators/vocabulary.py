@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from loomtext.functions.text import WS
 from loomtext.plans.config import require_backend, require_direction
@@ -24,6 +28,31 @@ def directed(pairs: DataFrame, backend: str, direction: str) -> DataFrame:
     return pairs.select(formatted(F.col(spec["source_column"]), backend, direction).alias("source"), F.col(spec["target_column"]).alias("target"))
 
 
+def tokenized(pairs: DataFrame, backend: str, directions: Sequence[str], encode: Callable[[list[str]], list[list[int]]], most: int = 192, keep: Sequence[str] = ()) -> DataFrame:
+    """(keep, direction, input_ids, labels): every pair in every direction, formatted, encoded and cut to ``most`` ids.
+
+    One scan gives all directions; ``encode`` gets the texts of an Arrow batch at a time on the
+    executors. Null texts have null ids.
+    """
+    ways = []
+    for d in directions:
+        spec = require_direction(d)
+        ways.append(F.struct(F.lit(d).alias("direction"), formatted(F.col(spec["source_column"]), backend, d).alias("source"), F.col(spec["target_column"]).alias("target")))
+    rows = pairs.select(*keep, F.explode(F.array(*ways)).alias("way")).select(*keep, "way.*")
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = []
+            for i in (len(keep) + 1, len(keep) + 2):
+                texts = batch.column(i).to_pylist()
+                found = iter(encode([t for t in texts if t is not None]))
+                columns.append(pa.array([None if t is None else next(found)[:most] for t in texts], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep) + 1], *columns], [*keep, "direction", "input_ids", "labels"])
+
+    schema = rows.select(*keep, "direction").schema.add("input_ids", ArrayType(IntegerType())).add("labels", ArrayType(IntegerType()))
+    return rows.mapInArrow(ids, schema)
+
+
 def truncated(ids: Column, most: int) -> Column:
     return F.slice(ids, 1, most)
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable, Mapping
-from dataclasses import asdict, dataclass, fields
+from dataclasses import asdict, dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -20,7 +21,7 @@ RUN_KEYS = ("run_name", "backend", "base_model", "dataset_id", "output_dir")
 
 @dataclass(frozen=True)
 class CleaningConfig:
-    """Rules of the cleaner."""
+    """Rules of the cleaner; names and defaults are fixed values."""
 
     min_words: int = 2
     max_words: int = 180
@@ -31,10 +32,18 @@ class CleaningConfig:
 
     @classmethod
     def of(cls, values: Mapping[str, Any] | CleaningConfig | None) -> CleaningConfig:
-        """From a mapping, of which unknown keys are ignored."""
+        """From a mapping: a value of another kind than the default's raises, keys of no rule are named in a warning."""
         if isinstance(values, cls):
             return values
-        return cls(**{f.name: values[f.name] for f in fields(cls) if f.name in values}) if values else cls()
+        given, chosen = dict(values or {}), {}
+        for rule, default in cls().as_dict().items():
+            value = given.pop(rule, default)
+            if isinstance(value, bool) is not isinstance(default, bool) or not isinstance(value, int | float):
+                raise TypeError(f"{rule} is {value!r}, not of the kind of {default!r}")
+            chosen[rule] = value
+        if given:
+            warnings.warn(f"no cleaning rules: {sorted(given)}", stacklevel=2)
+        return cls(**chosen)
 
     def as_dict(self) -> dict[str, Any]:
         return asdict(self)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from loomtext.functions import text as T
 from loomtext.operators import benchmarks, curate, metrics, vocabulary
 from loomtext.plans.fixtures import PAIRS_SQL, PREDICTIONS_SQL, RATINGS_SQL, pairs, predictions, ratings, sheet, table, texts
-from loomtext.plans.runtime import materialise
+from loomtext.plans.runtime import fresh_path, materialise
+from loomtext.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -220,17 +221,53 @@ def _(spark, d):
     return rows.select("id", "eng", "wes", F.concat("translation.eng", F.char(F.lit(9)), "translation.wes").alias("joined"), "split")
 
 
-@query("quick_subset", f"""{_SPLIT} (SELECT source_index, split FROM split WHERE split = 'validation' ORDER BY source_index LIMIT 300)
+@query("quick_subset", f"""{_SPLIT} (SELECT source_index, split FROM split WHERE split = 'train' ORDER BY md5('42:' || example_id), example_id LIMIT 2000)
+  UNION ALL (SELECT source_index, split FROM split WHERE split = 'validation' ORDER BY source_index LIMIT 300)
   UNION ALL (SELECT source_index, split FROM split WHERE split = 'test' ORDER BY source_index LIMIT 300)""")
 def _(spark, d):
-    return curate.quick_subset(_split(spark, d)).where("split <> 'train'").select("source_index", "split")
+    return curate.quick_subset(_split(spark, d)).select("source_index", "split")
 
 
 @query("seeded_shuffle", f"{_SPLIT} SELECT source_index, row_number() OVER (ORDER BY sha256('42:' || example_id), example_id) AS place FROM split WHERE split = 'train'")
 def _(spark, d):
-    rows = curate.shuffled(_split(spark, d).where("split = 'train'"))
-    order = metrics.Window.orderBy(F.sha2(F.concat(F.lit("42:"), F.col("example_id")), 256), "example_id")
-    return rows.select("source_index", F.row_number().over(order).cast("long").alias("place"))
+    return curate.shuffled_places(_split(spark, d).where("split = 'train'")).select("source_index", "place")
+
+
+@query("read_split", f"{_SPLIT} SELECT s.example_id AS id, c.eng, c.wes, s.split FROM split s JOIN clean c USING (source_index) WHERE s.split = 'validation'")
+def _(spark, d):
+    path = fresh_path(spark, "public-split")
+    io.write_public_split(_split(spark, d), path)
+    return io.read_split(spark, path, "validation").select("id", "eng", "wes", "split")
+
+
+@query("split_leaks_found", f"""{_JUDGED}, careless AS (SELECT eng_norm, wes_norm, source_index % 3 AS part FROM clean),
+  e AS (SELECT 'eng_norm' AS side, eng_norm AS key, count(DISTINCT part) AS splits FROM careless GROUP BY 2), w AS (SELECT 'wes_norm' AS side, wes_norm AS key, count(DISTINCT part) AS splits FROM careless GROUP BY 2)
+  SELECT * FROM e WHERE splits > 1 UNION ALL SELECT * FROM w WHERE splits > 1""")
+def _(spark, d):
+    careless = curate.clean_pairs(pairs(spark, d)).withColumn("split", (F.col("source_index") % 3).cast("string"))
+    return curate.split_leaks(materialise(careless.select("eng_norm", "wes_norm", "split"), "careless-split"))
+
+
+@query("csv_round_trip", f"WITH {PAIRS_SQL} SELECT source_index, eng, wes FROM pairs")
+def _(spark, d):
+    path = fresh_path(spark, "csv")
+    io.write_csv(pairs(spark, d).select("source_index", "eng", "wes"), path)
+    return io.read_csv(spark, path, "source_index long, eng string, wes string")
+
+
+@query("parquet_pairs", f"WITH {PAIRS_SQL} SELECT source_index, eng, wes FROM pairs")
+def _(spark, d):
+    path = fresh_path(spark, "pairs")
+    pairs(spark, d).write.parquet(path)
+    return io.read_pairs(spark, path, "source_index")
+
+
+@query("tokenized_union", f"""WITH {PAIRS_SQL}, w AS (SELECT source_index, 'en-wes' AS direction, '>>wes<< ' || eng AS s, wes AS t FROM pairs UNION ALL SELECT source_index, 'wes-en', '>>eng<< ' || wes, eng FROM pairs)
+  SELECT source_index, direction, array_to_string(list_transform(list_filter(string_split(s, ''), lambda c: c <> '')[1:24], lambda c: unicode(c)), ' ') AS input_ids,
+    array_to_string(list_transform(list_filter(string_split(t, ''), lambda c: c <> '')[1:24], lambda c: unicode(c)), ' ') AS labels FROM w""")
+def _(spark, d):
+    rows = vocabulary.tokenized(pairs(spark, d), "marian", ["en-wes", "wes-en"], lambda texts: [[ord(c) for c in t] for t in texts], 24, ["source_index"])
+    return rows.select("source_index", "direction", *(F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("input_ids", "labels")))
 
 
 @query("format_direction", f"""WITH {PAIRS_SQL} SELECT source_index, '>>wes<< ' || eng AS marian, 'translate Cameroon Pidgin to English: ' || wes AS byt5, eng AS nllb FROM pairs""")
@@ -424,7 +461,7 @@ def _(spark, d):
     return metrics.corpus_metrics(predictions(spark, d))
 
 
-_SAMPLES = 40
+_SAMPLES = 1000
 _DRAWN = f"""size AS (SELECT direction, count(*) AS n FROM preds GROUP BY 1), num AS (SELECT direction, id, row_number() OVER (PARTITION BY direction ORDER BY id) - 1 AS row FROM preds),
 draws AS (SELECT direction, s AS sample, CAST(('0x' || substr(sha256('42:' || s || ':' || k), 1, 15)) AS BIGINT) % n AS row FROM (SELECT *, unnest(range(n)) AS k FROM (SELECT *, unnest(range({_SAMPLES})) AS s FROM size))),
 w AS (SELECT direction, sample, id, count(*) AS weight FROM draws JOIN num USING (direction, row) GROUP BY ALL),
@@ -473,7 +510,24 @@ def _(spark, d):
   x AS (SELECT count(*) AS everything, count_if(n > 1) AS items, sum(CASE WHEN n > 1 THEN n END) AS n, sum(CASE WHEN n > 1 THEN s END) AS s, sum(CASE WHEN n > 1 THEN q END) AS q, sum(CASE WHEN n > 1 THEN 2 * (n * q - s * s) / (n - 1) END) AS inside FROM i)
   SELECT round(1 - (inside / n) / (2 * (n * q - s * s) / (n * (n - 1))), 6) AS alpha, items, CAST(n AS BIGINT) AS ratings, round(items / everything, 6) AS share_double FROM x""")
 def _(spark, d):
-    rows = benchmarks.agreement(ratings(spark, d), "doc_id", "reviewer_id", "adequacy")
+    return _agreement(spark, d, "interval")
+
+
+@query("rating_agreement_ordinal", f"""WITH {RATINGS_SQL}, two AS (SELECT doc_id FROM ratings GROUP BY 1 HAVING count(*) > 1), p AS (SELECT * FROM ratings JOIN two USING (doc_id)),
+  c AS (SELECT adequacy, count(*) AS n FROM p GROUP BY 1),
+  d AS (SELECT a.adequacy AS x, b.adequacy AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, (sum(g.n) - (any_value(a.n) + any_value(b.n)) / 2.0::DOUBLE) ** 2 AS d2
+    FROM c a JOIN c b ON a.adequacy <= b.adequacy JOIN c g ON g.adequacy BETWEEN a.adequacy AND b.adequacy GROUP BY 1, 2),
+  m AS (SELECT doc_id, count(*) AS m FROM p GROUP BY 1),
+  o AS (SELECT sum(d2 / (m - 1)) AS inside FROM p a JOIN p b USING (doc_id) JOIN m USING (doc_id) JOIN d ON d.x = least(a.adequacy, b.adequacy) AND d.y = greatest(a.adequacy, b.adequacy) WHERE a.reviewer_id <> b.reviewer_id AND a.adequacy <> b.adequacy),
+  e AS (SELECT sum(2 * nx * ny * d2) AS across FROM d WHERE x < y), t AS (SELECT count(*) AS n FROM p)
+  SELECT round(1 - (inside / n) / (across / (n * (n - 1.0::DOUBLE))), 6) AS alpha, (SELECT count(*) FROM two) AS items, n AS ratings,
+    round((SELECT count(*) FROM two) / (SELECT count(DISTINCT doc_id) FROM ratings), 6) AS share_double FROM o, e, t""")
+def _(spark, d):
+    return _agreement(spark, d, "ordinal")
+
+
+def _agreement(spark: SparkSession, d: str, level: str) -> DataFrame:
+    rows = benchmarks.agreement(ratings(spark, d), "doc_id", "reviewer_id", "adequacy", level)
     return rows.select(F.round("alpha", 6).alias("alpha"), "items", "ratings", F.round("share_double", 6).alias("share_double"))
 
 

@@ -5,7 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,5 +47,34 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system of a path or URI, and the path within it."""
+    if "://" in uri:
+        return fs.FileSystem.from_uri(uri)
+    return fs.LocalFileSystem(), uri.removeprefix("file:")
+
+
+def parquet_batches(folder: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of a written table's files in order of name, which is the order of its partitions."""
+    system, path = filesystem(folder)
+    for found in sorted(system.get_file_info(fs.FileSelector(path)), key=lambda x: x.base_name):
+        if found.base_name.startswith("part-"):
+            yield from pq.ParquetFile(system.open_input_file(found.path)).iter_batches(columns=columns)
+
+
+def numbered(rows: DataFrame, *order: Column | str, name: str = "place") -> DataFrame:
+    """``rows`` with their number in an order, from 0, without a window over all rows.
+
+    Rows are sorted by ranges and written; a range's first number is the sum of the sizes before it,
+    a table of one row a range.
+    """
+    at = materialise(rows.orderBy(*order).withColumn(name, F.monotonically_increasing_id()), "numbered")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = at.groupBy(F.shiftright(name, 33).alias("part")).agg(F.count("*").alias("size"))
+    parts = parts.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("ahead"))
+    joined = at.join(F.broadcast(parts), F.shiftright(name, 33) == F.col("part"))
+    return joined.withColumn(name, F.col("ahead") + F.col(name).bitwiseAND(F.lit((1 << 33) - 1))).select(*rows.columns, name)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -22,13 +22,20 @@ def read_pairs(spark: SparkSession, path: str, source_index: str | None = None)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A CSV file with a header, quoted line breaks and doubled quotes; all strings without a schema."""
+    """A CSV file with a header, quoted line breaks and doubled quotes; all strings without a schema.
+
+    A quoted nothing is an empty text, an unquoted one null.
+    """
     reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+    reader = reader.option("nullValue", "\0")  # unequal to the empty text, so that the two stay apart
+    reader = reader.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    """With a header; white space at the ends and empty texts stay as they are, null is an unquoted nothing."""
+    writer = rows.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def read_run_config(path: str) -> dict[str, Any]:
@@ -74,6 +81,11 @@ def write_public_split(split: DataFrame, path: str) -> None:
     curate.public_split(split).write.mode("overwrite").partitionBy("split").parquet(path)
 
 
+def read_split(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One split of a written table of splits: a partition filter, so that the other splits' files are not read."""
+    return spark.read.parquet(path).where(F.col("split") == name)
+
+
 def save_artifacts(folder: str, audit: Mapping[str, Any], report: Mapping[str, Any], split: DataFrame, rejected: DataFrame) -> dict[str, Any]:
     """Writes splits and rejected rows as Parquet, audit, report and manifest as JSON; returns the manifest."""
     split.write.mode("overwrite").partitionBy("split").parquet(f"{folder}/clean_splits")
