@@ -29,9 +29,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Paths made in the shared folder by this process, by application.
+_MADE: dict[str, list[str]] = {}
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_intermediates(spark: SparkSession) -> int:
+    """Deletes what ``fresh_path`` named for this application, once its results are written; returns how many paths there were.
+
+    Tables and files that results still lazily read are among them, so it is for the end of a job.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    paths = _MADE.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
