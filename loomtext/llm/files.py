@@ -9,14 +9,7 @@ from typing import BinaryIO
 
 from pyarrow import fs
 
-
-def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
-    """Arrow's file system of a path or URI, and the path within it."""
-    if "://" in uri:
-        return fs.FileSystem.from_uri(uri)
-    if uri.startswith("file:"):
-        uri = uri[5:]
-    return fs.LocalFileSystem(), uri
+from loomtext.plans.runtime import filesystem
 
 
 @contextmanager
