@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,14 +46,31 @@ def drop_intermediates(spark: SparkSession) -> int:
 
     Tables and files that results still lazily read are among them, so it is for the end of a job.
     """
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     paths = _MADE.pop(spark.sparkContext.applicationId, [])
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, True)
+    _delete(spark, paths)
     return len(paths)
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes the files of written tables that nothing will read again, and lets Spark drop the shuffles of dead plans.
+
+    Spark deletes a shuffle's files once the driver has collected the plan that made it.
+    """
+    files = {f.rpartition("/")[0] for t in tables for f in t.inputFiles()}
+    made = _MADE.get(spark.sparkContext.applicationId, [])
+    for p in [p for p in made if any(f.endswith(p.rpartition("/")[2]) for f in files)]:
+        _delete(spark, [p])
+        made.remove(p)
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable, eager checkpoint: it survives the loss of an executor."""
     shared_dir(df.sparkSession)
