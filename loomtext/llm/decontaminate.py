@@ -118,7 +118,7 @@ class Seeds:
 
     def _diagonals(self, ids: np.ndarray) -> np.ndarray:
         """Distinct (item, shift) of all hits."""
-        known, found = ids > 0, [np.empty((0, 2), dtype=np.int64)]
+        known, found = ids > 0, []
         span = len(ids) + max(map(len, self.items), default=0) + 1
         for number, offsets, hashes, items, starts in self.tables:
             n = len(ids) - offsets[-1]
@@ -128,10 +128,15 @@ class Seeds:
             for o in offsets[1:]:
                 full &= known[o : o + n]
             at = np.flatnonzero(full)
+            if not len(at):
+                continue
             h = _hash(ids, at, offsets, number)
             low = np.searchsorted(hashes, h, "left")
-            size = np.searchsorted(hashes, h, "right") - low
-            at, low, size = at[size > 0], low[size > 0], size[size > 0]
+            hit = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == h)
+            if not len(hit):
+                continue
+            at, low = at[hit], low[hit]
+            size = np.searchsorted(hashes, h[hit], "right") - low
             upto = np.cumsum(size)
             codes, begin = np.empty(0, dtype=np.int64), 0
             while begin < len(at):  # a window at least, and about STEP hits
@@ -140,8 +145,11 @@ class Seeds:
                 j = np.repeat(low[begin:end] - np.cumsum(some) + some, some) + np.arange(some.sum())
                 codes = np.unique(np.concatenate([codes, items[j] * (2 * span) + np.repeat(at[begin:end], some) - starts[j] + span]))
                 begin = end
-            found.append(np.stack([codes // (2 * span), codes % (2 * span) - span], axis=1))
-        return np.unique(np.concatenate(found), axis=0)
+            found.append(codes)
+        if not found:
+            return np.empty((0, 2), dtype=np.int64)
+        codes = np.unique(np.concatenate(found))
+        return np.stack([codes // (2 * span), codes % (2 * span) - span], axis=1)
 
     def overlaps(self, text: str | None) -> dict[int, tuple[int, int, int, int]]:
         """For each text that overlaps: matching words, words, start in ``text`` and in the item, of its best overlap."""
