@@ -45,11 +45,11 @@ END_ID = 2
 #: A shard is closed once it holds so many bytes.
 ROLL = 256 << 20
 #: A worker keeps the ids of so many pieces of so many characters at most; others are encoded again.
-PIECES, LONGEST = 800_000, 48
+PIECES, LONGEST = 200_000, 48
 #: Marks that a tokenizer parts from the letter before them; ids of so many runs of them are kept.
 MARKS, KEPT_MARKS = ",.;:!?", 1000
 #: Texts of so many characters together are encoded at a time, one at least.
-TOGETHER = 8 << 20
+TOGETHER = 2 << 20
 
 
 def head_of(doc_id: int | None) -> bytes:
@@ -359,6 +359,8 @@ def _write(folder: str, tokenizer: str, end_id: int, batches: Iterator[pa.Record
                 writer.add(*row)
                 row = next(found, None)
             writer.close()
+        # The worker goes on to other tasks; what Arrow keeps for later would count against its executor.
+        pa.default_memory_pool().release_unused()
         yield pa.RecordBatch.from_pydict({"path": [uri], "first_key": [first], "docs": [writer.docs], "tokens": [writer.tokens]})
         shard += 1
 
