@@ -59,3 +59,14 @@ def test_drops_a_similar_text_of_a_far_fingerprint(spark):
     x, y = " ".join(a), " ".join(b)
     assert (simhash.fingerprint(x) ^ simhash.fingerprint(y)).bit_count() > 4 and len(grams(x) & grams(y)) >= 0.8 * len(grams(x) | grams(y))
     assert [k.doc_id for k in simhash.drop_near_duplicates(spark.createDataFrame([(1, x), (2, y)], SCHEMA)).collect()] == [1]
+
+
+def test_rows_outside_the_map_are_not_marked(spark, monkeypatch):
+    rows = spark.createDataFrame([(i if i % 7 else None, i % 50) for i in range(400)], "c0 long, c1 long")
+    marked = rows.where("c1 < 9").distinct().toDF("mark_id", "mark_place")
+    for bits in (1 << 26, 64):
+        monkeypatch.setattr(shingles, "BITS", bits)
+        got = shingles._seen(rows, rows.c0, rows.c1, marked).collect()
+        assert len(got) == 400 and all(r.may for r in got if r.c1 < 9)
+        assert bits == 64 or sum(r.may for r in got) == sum(r.c1 < 9 for r in got)
+    assert not any(r.may for r in shingles._seen(rows, rows.c0, rows.c1, marked.limit(0)).collect())
