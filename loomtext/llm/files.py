@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import BinaryIO
 
+import pyarrow as pa
 from pyarrow import fs
 
 from loomtext.plans.runtime import filesystem
@@ -39,3 +41,11 @@ def files_in(folder: str, ending: str) -> list[str]:
     system, path = filesystem(folder)
     found = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
     return sorted(f"{folder}/{x.base_name}" for x in found if x.type == fs.FileType.File and x.base_name.endswith(ending))
+
+
+def give_back() -> None:
+    """At a task's end: its worker goes on to other tasks, and what Arrow and malloc keep for later would count against its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.llm.columns import fields
-from loomtext.llm.files import new_file, open_file
+from loomtext.llm.files import give_back, new_file, open_file
 from loomtext.plans.runtime import fresh_path, materialise, shuffle_partitions
 
 MAGIC = b"LTSSTBL1"
@@ -359,8 +359,7 @@ def _write(folder: str, tokenizer: str, end_id: int, batches: Iterator[pa.Record
                 writer.add(*row)
                 row = next(found, None)
             writer.close()
-        # The worker goes on to other tasks; what Arrow keeps for later would count against its executor.
-        pa.default_memory_pool().release_unused()
+        give_back()
         yield pa.RecordBatch.from_pydict({"path": [uri], "first_key": [first], "docs": [writer.docs], "tokens": [writer.tokens]})
         shard += 1
 
