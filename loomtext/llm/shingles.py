@@ -1,4 +1,8 @@
-"""Near-duplicates by shingles: all pairs of texts with a Jaccard similarity of 0.8 or more, exactly."""
+"""Near-duplicates: all pairs of texts with a Jaccard similarity of 0.8 or more of their shingles, exactly.
+
+SimHash fingerprints of the shingles find pairs by pigeonring first; prefix keys give the pairs that
+fingerprints leave in different components. All shingles decide both.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +16,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.columns import fields, numbered, place_of
 from loomtext.llm.files import give_back
+from loomtext.llm.hamming import hamming_links, set_fingerprint
 from loomtext.operators.components import connected_components
 from loomtext.plans.runtime import materialise, release, shuffle_partitions
 
@@ -87,7 +92,7 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
 
 
 def shingle_sets(docs: DataFrame, common: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, place, node, n, m0..., wide, prefix) of every row: ``node`` names the set, 0 the empty one, ``place`` the text, m0... are its parity map, ``wide`` the wide one.
+    """(row, id, place, node, n, fp, m0..., wide, prefix) of every row: ``node`` names the set, 0 the empty one, ``place`` the text, ``fp`` is its SimHash, m0... are its parity map, ``wide`` the wide one.
 
     In one order of all shingles, similar sets have a shingle in common among their prefixes.
     """
@@ -95,25 +100,26 @@ def shingle_sets(docs: DataFrame, common: np.ndarray, id_col: str, text_col: str
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(at, STEP) for at in range(0, batch.num_rows, STEP)):
-                node, n, maps, prefix = [], [], [], []
+                node, n, fp, maps, prefix = [], [], [], [], []
                 for text in part.column(3).to_pylist():
                     s = shingles(text)
                     node.append(xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0)
                     n.append(len(s))
+                    fp.append(set_fingerprint(s))
                     maps.append(parity_map(s))
                     late = common[np.searchsorted(common, s) % len(common)] == s if len(common) else np.zeros(len(s), dtype=bool)
                     s = np.concatenate([s[~late], s[late]])
                     cut = len(s) - -(-LEAST * len(s) // OF) + 1 if len(s) else 0
                     prefix.append(s[:cut])
-                nodes = pa.array(np.array(node, dtype=np.uint64).view(np.int64))
+                nodes, prints = (pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (node, fp))
                 # The narrow map is the wide one folded.
                 narrow = np.array([np.bitwise_xor.reduce(m.reshape(-1, MAP), axis=0) for m in maps], dtype=np.int64).reshape(-1, MAP)
                 columns = [*(pa.array(c.copy()) for c in narrow.T), _lists(maps), _lists(prefix)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], nodes, pa.array(n, pa.int32()), *columns], ["row", "id", "place", "node", "n", *MAPS, "wide", "prefix"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], nodes, pa.array(n, pa.int32()), prints, *columns], ["row", "id", "place", "node", "n", "fp", *MAPS, "wide", "prefix"])
         give_back()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), *_placed(text_col))
-    return rows.mapInArrow(sets, f"row long, id long, place long, node long, n int, {LONGS}, wide array<long>, prefix array<long>")
+    return rows.mapInArrow(sets, f"row long, id long, place long, node long, n int, fp long, {LONGS}, wide array<long>, prefix array<long>")
 
 
 def _placed(text_col: str) -> list:
@@ -163,15 +169,16 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row of a key with the next one, of the NEAR after it, that may be similar; rows come sorted by key and an order."""
-    for (key, node, n, at, *maps), _ in _runs(batches):
+    """Each row of a key with the next one, of the NEAR after it, that may be similar, if their roots differ; rows come sorted by key and an order."""
+    for (key, node, n, at, *maps, root), _ in _runs(batches):
         open_, left, right = np.arange(len(key)), [], []
         for d in range(1, NEAR + 1):
             open_ = open_[open_ + d < len(key)]
             open_ = open_[key[open_] == key[open_ + d]]
             fine = _possible(n, at, maps, open_, open_ + d)
-            left.append(node[open_[fine]])
-            right.append(node[open_[fine] + d])
+            apart = open_[fine & (root[open_] != root[open_ + d])]
+            left.append(node[apart])
+            right.append(node[apart + d])
             open_ = open_[~fine]
         pairs = np.unique(np.sort(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
@@ -237,24 +244,45 @@ def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
+def near_fingerprints(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes, a < b, that join all whose fingerprints ``fp`` are within the distance: each with the first of its own, these by pigeonring."""
+    heads = materialise(prints.groupBy("fp").agg(F.min("node").alias("head")), "prints")
+    side = lambda x: heads.select(F.col("fp").alias(x), F.col("head").alias(f"head_{x}"))
+    across = hamming_links(heads.select("fp")).join(side("a"), "a").join(side("b"), "b").select("head_a", "head_b")
+    same = prints.join(heads, "fp").where("node <> head").select("head", "node")
+    pairs = across.union(same).toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = materialise(pairs.distinct(), "near-prints")
+    release(prints.sparkSession, heads)
+    return pairs
+
+
 def similar_links(prefixes: DataFrame, texts: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) of similar nodes whose connected components are those of all similar pairs.
 
-    Neighbours under a shared prefix key are tried first; then the pairs that these links leave in
-    different components, so that a large group of near copies is never all pairs. A key of more
-    than ``bucket`` rows is dealt out in pairs of blocks of about half as many.
+    Pairs of near fingerprints are tried first; then, of what these links leave in different
+    components, neighbours under a shared prefix key; then all that is still apart under one, so
+    that a large group of near copies is never all pairs. A key of more than ``bucket`` rows is
+    dealt out in pairs of blocks of about half as many.
     """
     spark = prefixes.sparkSession
-    n, columns = shuffle_partitions(spark), ["key", "node", "n", "at", *MAPS]
+    n, columns = shuffle_partitions(spark), ["key", "node", "n", "at", *MAPS, "root"]
+    nodes = prefixes.select("node", "place", "n", "wide", *MAPS)
+    printed = near_fingerprints(prefixes.select("node", "fp"))
+    close = _similar(printed, nodes, texts)
+    classes = materialise(connected_components(close, "a", "b"), "print-classes")
     keyed = prefixes.select("node", "n", F.posexplode("prefix").alias("at", "key")).select("key", "node", "n", "at").repartition(n, "key")
     shared = materialise(keyed.sortWithinPartitions("key").mapInArrow(_shared, "key long, node long, n int, at int"), "shared")
-    nodes = prefixes.select("node", "place", "n", "wide", *MAPS)
-    mapped = shared.join(nodes.select("node", *MAPS), "node")
-    ordered = mapped.select(*columns).repartition(n, "key").sortWithinPartitions("key", F.xxhash64("node", F.expr("key & 3")))
+
+    def rooted_by(classes: DataFrame) -> DataFrame:
+        known = nodes.select("node", *MAPS).join(classes, "node", "left").withColumn("root", F.coalesce("component", "node"))
+        return shared.join(known, "node").select(*columns)
+
+    ordered = rooted_by(classes).repartition(n, "key").sortWithinPartitions("key", F.xxhash64("node", F.expr("key & 3")))
     pairs = materialise(ordered.mapInArrow(_neighbours, "a long, b long").distinct(), "neighbours")
-    first = _similar(pairs, nodes, texts)
+    release(spark, classes)
+    first = close.unionByName(_similar(pairs, nodes, texts))
     classes = materialise(connected_components(first, "a", "b"), "first-classes")
-    rooted = mapped.join(classes, "node", "left").select(*columns, F.coalesce("component", "node").alias("root"))
+    rooted = rooted_by(classes)
     large = materialise(shared.groupBy("key").count().where(F.col("count") > bucket).select("key", F.ceil(F.col("count") / (bucket / 2)).alias("blocks")), "large-keys")
     if large.isEmpty():
         rooted = rooted.withColumn("group", F.lit(0).cast("long"))
@@ -263,8 +291,8 @@ def similar_links(prefixes: DataFrame, texts: DataFrame, bucket: int = BUCKET) -
         rooted = rooted.withColumn("own", F.expr("pmod(xxhash64(node), blocks)")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
         rooted = rooted.withColumn("group", F.expr("least(own, other) * blocks + greatest(own, other)")).drop("blocks", "own", "other")
     crossed = rooted.repartition(n, "key", "group").sortWithinPartitions("key", "group").mapInArrow(_crossed, "a long, b long")
-    crossed = materialise(crossed.distinct().join(pairs, ["a", "b"], "left_anti"), "crossed")
-    release(spark, shared, pairs, classes, large)
+    crossed = materialise(crossed.distinct().join(pairs.union(printed), ["a", "b"], "left_anti"), "crossed")
+    release(spark, shared, printed, pairs, classes, large)
     second = _similar(crossed, nodes, texts)
     release(spark, crossed)
     return first.unionByName(second)

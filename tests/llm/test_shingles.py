@@ -70,3 +70,56 @@ def test_rows_outside_the_map_are_not_marked(spark, monkeypatch):
         assert len(got) == 400 and all(r.may for r in got if r.c1 < 9)
         assert bits == 64 or sum(r.may for r in got) == sum(r.c1 < 9 for r in got)
     assert not any(r.may for r in shingles._seen(rows, rows.c0, rows.c1, marked.limit(0)).collect())
+
+
+def near_texts(seed):
+    """Texts of 400 words and copies with a changed word, within 4 bits by the sets' fingerprints; unlike ones among them."""
+    r = random.Random(seed)
+    rows = []
+    for i in range(12):
+        base = [f"w{r.randrange(5000)}" for _ in range(400)]
+        rows.append((10 * i, " ".join(base)))
+        for k in range(6):
+            copy = list(base)
+            copy[r.randrange(400)] = f"x{k}"
+            a, b = (shingles.set_fingerprint(shingles.shingles(" ".join(t))) for t in (base, copy))
+            if (a ^ b).bit_count() <= 4:
+                rows.append((10 * i + k + 1, " ".join(copy)))
+    return rows
+
+
+def test_fingerprints_find_pairs_that_shingles_decide(spark, monkeypatch):
+    rows = near_texts(5)
+    assert len(rows) > 24
+    monkeypatch.setattr(shingles, "_shared", lambda batches: iter(()))  # no prefix key has two rows
+    got = shingles.similar_classes(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((x.doc_id, x.component_id) for x in got) == least_ids(rows)
+
+
+def test_pairs_of_fingerprints_are_decided_by_shingles(spark, monkeypatch):
+    every = lambda prints: prints.crossJoin(prints.select(prints.node.alias("b"))).where("node < b").selectExpr("node a", "b")
+    monkeypatch.setattr(shingles, "near_fingerprints", lambda prints: shingles.materialise(every(prints), "every"))
+    rows = texts(2)[:40]
+    got = shingles.similar_classes(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((x.doc_id, x.component_id) for x in got) == least_ids(rows)
+
+
+def test_near_fingerprints_equal_brute_force(spark):
+    r = random.Random(8)
+    prints = []
+    for _ in range(60):
+        base = r.getrandbits(64)
+        prints += [base ^ sum(1 << b for b in r.sample(range(64), k)) for k in r.sample(range(7), 3)] + [base]
+    signed = [x - (1 << 64) if x >> 63 else x for x in prints]
+    rows = [(i, x) for i, x in enumerate(signed)]
+    pairs = [(p.a, p.b) for p in shingles.near_fingerprints(spark.createDataFrame(rows, "node long, fp long")).collect()]
+    assert all(a < b and (prints[a] ^ prints[b]).bit_count() <= 4 for a, b in pairs) and len(pairs) == len(set(pairs))
+
+    def classes(links):
+        root = list(range(len(rows)))
+        for a, b in links:
+            root = [root[b] if x == root[a] else x for x in root]
+        return [root.index(x) for x in root]
+
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4]
+    assert classes(pairs) == classes(near) and len(near) > 60
