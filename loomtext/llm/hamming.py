@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.llm.files import give_back
 from loomtext.plans.runtime import checkpoint, shuffle_partitions
 
 #: 16 segments of 4 bits round the ring; at distance 4 a segment's share of the budget is 1/4.
@@ -132,6 +133,7 @@ def _links(limit: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
             group, key, fp = (np.empty(0, dtype=np.int64) for _ in range(3))
     if len(key):
         yield _linked(group, key, fp, out)
+    give_back()
 
 
 def _linked(group, key, fp, out) -> pa.RecordBatch:
