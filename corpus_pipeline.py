@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomtext.llm import decontaminate, langid, mixing, simhash, sstable
 from loomtext.llm.queries import table, tokenizer_path
-from loomtext.plans.runtime import materialise
+from loomtext.plans.runtime import bound_batches, materialise
 
 #: Texts less like every learned language than this are no language's, unless too short to tell.
 LEAST_COSINE = 0.08
@@ -18,6 +18,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null and empty texts and those without letters go; ids may be null or repeat, each row being
     decided by its own text; other columns stay; an empty table stays empty.
     """
+    bound_batches(spark)
     return langid.reject_unidentified(docs, LEAST_COSINE)
 
 
@@ -27,6 +28,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     The smallest id of a class stays, null ids last, and of rows that repeat it one; null and empty
     texts are one class; other columns stay; an empty table stays empty.
     """
+    bound_batches(spark)
     return simhash.drop_near_duplicates(docs)
 
 
@@ -36,6 +38,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null and empty texts and all rows stay as they are where nothing overlaps, repeated ones stay or
     go together; an empty table stays empty.
     """
+    bound_batches(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -54,6 +57,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null text is empty, null ids come first, each of repeated rows has an entry; an empty table
     writes no shard and gives no rows.
     """
+    bound_batches(spark)
     return sstable.token_shards(docs, tokenizer_path())
 
 

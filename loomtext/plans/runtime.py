@@ -30,6 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Bytes of an Arrow batch for Python, about; whole texts are long, so that Spark's 10,000 rows or 64 MB are too many.
+BATCH = 2 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session hands Python workers BATCH bytes at a time, or less if it is set so; one row at least.
+
+    Spark reads the setting when a plan runs, so it has to hold until lazy results are written. JVM
+    and workers both hold a batch, and what malloc took for a large one stays with the executor.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 #: Paths made in the shared folder by this process, by application.
 _MADE: dict[str, list[str]] = {}
 

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from test_overlaps import brute
 from test_shingles import grams
@@ -12,6 +13,7 @@ import corpus_pipeline
 from loomtext.llm import langid, mixing
 from loomtext.llm.queries import tokenizer_path
 from loomtext.llm.words import words
+from loomtext.plans.runtime import BATCH
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -112,3 +114,44 @@ def test_run_of_empty_tables(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = spark.createDataFrame([], DOCS)
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def test_long_texts_reach_workers_in_small_batches(spark, tmp_path):
+    """A batch of long texts is held by the JVM and by the worker; 400 texts of 50 KB were one batch of 20 MB."""
+    spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]})
+
+    long = spark.range(0, 400, 1, 1).select("id", F.repeat(F.lit("lorem "), 8_500).alias("text"))
+    docs = spark.createDataFrame([(1, "kolo mira tavo", "aa", "s1", 1)], DOCS)
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            if name == "mixing":  # has no Python
+                continue
+            spark.conf.unset(ARROW_BYTES)
+            stage(spark, docs, str(tmp_path))
+            found = long.mapInArrow(sizes, "rows long, bytes long").collect()
+            assert sum(x.rows for x in found) == 400, name
+            assert max(x.bytes for x in found) < BATCH + 2 * 51_000, name
+    finally:
+        spark.conf.unset(ARROW_BYTES)
+
+
+def test_run_is_the_same_by_any_batches(spark, tmp_path):
+    rows, items = corpus(5)
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    try:
+        got = []
+        for most in ("64m", "1k"):
+            spark.conf.set(ARROW_BYTES, most)
+            got.append(sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())))
+            assert spark.conf.get(ARROW_BYTES) == ("1k" if most == "1k" else str(BATCH))  # a smaller limit stays
+        assert got[0] == got[1] and len(got[0]) > 10
+    finally:
+        spark.conf.unset(ARROW_BYTES)
