@@ -17,13 +17,13 @@ A shard holds, in ascending key order: blocks, a sparse block index, a Bloom fil
 from __future__ import annotations
 
 import os
+import string
 import struct
 import zlib
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +44,14 @@ BLOCK, RESTART, BITS_PER_KEY, HASHES = 64 << 10, 16, 10, 7
 END_ID = 2
 #: A shard is closed once it holds so many bytes.
 ROLL = 256 << 20
-#: A worker keeps the ids of so many pieces of so many characters at most; others are encoded again.
-PIECES, LONGEST = 200_000, 48
-#: Marks that a tokenizer parts from the letter before them; ids of so many runs of them are kept.
-MARKS, KEPT_MARKS = ",.;:!?", 1000
+#: A worker keeps the ids of so many words with keys of so many bytes, and room for so many ids a word; others are encoded again.
+WORDS, KEY, IDS = 500_000, 24, 8
+#: Marks that a tokenizer parts from the letter before them; ids of about so many runs of them are kept.
+MARKS, KEPT_MARKS = string.punctuation, 1000
+#: What a word may follow, and how a byte-level tokenizer writes it.
+SEPARATORS = {" ": "\u0120", "\n": "\u010a"}
+#: First bytes of white space in UTF-8, and of other characters.
+MAY_BE_SPACE = np.isin(np.arange(256), [*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3])
 #: Texts of so many characters together are encoded at a time, one at least.
 TOGETHER = 2 << 20
 
@@ -221,13 +225,92 @@ class Shard:
                 yield last, np.frombuffer(raw, f"<u{self.width}", length // self.width, value)
 
 
+class Words:
+    """The ids of many short words in flat arrays, found by open addressing: some 40 bytes a word, where a dict takes over 100.
+
+    A key is a word's bytes, filled up with zeros, and a last byte of its length and kind, so equal keys are equal words.
+    """
+
+    def __init__(self, most: int, width: int):
+        self.most, self.count, self.bits = most, 0, (2 * most - 1).bit_length()
+        self.slots = np.full(1 << self.bits, -1, dtype=np.int32)
+        self.keys = np.empty((most, KEY // 8), dtype="<u8")
+        self.bounds, self.ids = np.zeros(most + 1, dtype=np.int64), np.empty(most * IDS * width, dtype=np.uint8)
+
+    @staticmethod
+    def keys_of(words: pa.LargeStringArray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's key, and whether the word is short enough to have one."""
+        bounds, data = _parts(words)
+        sizes = np.diff(bounds)
+        padded = np.zeros(len(data) + KEY, dtype=np.uint8)
+        padded[:-KEY] = data
+        raw = np.lib.stride_tricks.sliding_window_view(padded, KEY)[bounds[:-1]]
+        raw *= np.arange(KEY) < sizes[:, None]
+        fits = sizes < KEY
+        raw[:, -1] = np.where(fits, sizes, 0) + (kind << 7)
+        return raw.view("<u8"), fits
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        mixed = np.zeros(len(keys), dtype=np.uint64)
+        for i in range(keys.shape[1]):
+            mixed = (mixed ^ keys[:, i]) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(32)
+        return (mixed * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key's word, or -1."""
+        out, rows, at = np.full(len(keys), -1, dtype=np.int64), np.arange(len(keys)), self._first(keys)
+        while len(rows):
+            seen = self.slots[at]
+            rows, at, seen = (x[seen >= 0] for x in (rows, at, seen))
+            same = (self.keys[seen] == keys[rows]).all(axis=1)
+            out[rows[same]] = seen[same]
+            rows, at = rows[~same], at[~same] + 1 & (1 << self.bits) - 1
+        return out
+
+    def add(self, keys: np.ndarray, values: pa.LargeBinaryArray) -> None:
+        """Words that are not there yet, each once, as far as there is room."""
+        bounds, data = _parts(values)
+        start = int(self.bounds[self.count])
+        n = min(self.most - self.count, len(keys), int(np.searchsorted(bounds, bounds[0] + len(self.ids) - start, "right")) - 1)
+        if n <= 0:
+            return
+        numbers = np.arange(self.count, self.count + n, dtype=np.int32)
+        self.keys[numbers] = keys[:n]
+        self.bounds[numbers + 1] = bounds[1 : n + 1] - bounds[0] + start
+        self.ids[start : self.bounds[self.count + n]] = data[bounds[0] : bounds[n]]
+        self.count += n
+        at = self._first(keys[:n])
+        while len(numbers):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = numbers[free]
+            left = self.slots[at] != numbers
+            numbers, at = numbers[left], at[left] + 1 & (1 << self.bits) - 1
+
+    def values(self) -> pa.LargeBinaryArray:
+        """The ids of all words by number."""
+        return _binary(self.bounds[: self.count + 1], self.ids)
+
+
+def _parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bounds of a large string or binary column's values, and the bytes that they bound."""
+    if not len(column):
+        return np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint8)
+    _, bounds, data = column.buffers()
+    return np.frombuffer(bounds, dtype=np.int64)[column.offset : column.offset + len(column) + 1], np.frombuffer(data or b"", dtype=np.uint8)
+
+
+def _binary(bounds: np.ndarray, data) -> pa.LargeBinaryArray:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+
+
 class PieceEncoder:
-    """The tokenizer's ids of whole texts, with the ids of recurring pieces kept.
+    """The tokenizer's ids of whole texts, with the ids of recurring words kept.
 
     A byte-level tokenizer starts a new word at a space that something other than white space
-    follows, so a text's ids are those of its pieces, cut before such spaces, and marks after a
-    letter are words of their own. A text that has another space next to white space, or a special
-    token, is encoded as one.
+    follows, so a text's ids are those of its pieces, cut before such spaces. So does it at a line
+    break between other characters, and marks after a letter are words of their own. A text that has
+    another space next to white space, or a special token, is encoded as one.
     """
 
     def __init__(self, path: str):
@@ -236,37 +319,107 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        # Ids that begin with a space: in pieces with no other space, each marks the start of a piece.
-        self.opens = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
-        self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
-        self.known: dict[str, bytes] = {}
-        self.ends: dict[str, bytes] = {}
+        # Ids that begin with a space or a line break: in words with no other one, each marks a word's start.
+        self.opens = {sep: np.zeros(self.tokenizer.get_vocab_size(), dtype=bool) for sep in SEPARATORS}
+        for sep, sign in SEPARATORS.items():
+            self.opens[sep][[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(sign)]] = True
+        self.known = Words(WORDS, self.width)
+        self.ends: dict[int, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         kind = f"<u{self.width}"
         return [np.array(e.ids, dtype=kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece after a space, encoded in one text."""
-        (joined,) = self._encode([" " + " ".join(pieces)])
-        starts = np.flatnonzero(self.opens[np.frombuffer(joined, f"<u{self.width}")]) * self.width
-        if len(starts) != len(pieces):
-            return self._encode([" " + x for x in pieces])
-        bounds = [*starts.tolist(), len(joined)]
-        return list(map(joined.__getitem__, map(slice, bounds[:-1], bounds[1:])))
+    def _fresh(self, words: list[str], sep: str) -> pa.LargeBinaryArray:
+        """The ids of each word after a separator and of that, encoded in one text."""
+        (joined,) = self._encode([sep + sep.join(words)])
+        starts = np.flatnonzero(self.opens[sep][np.frombuffer(joined, f"<u{self.width}")]) * self.width
+        if len(starts) != len(words) or starts[0]:
+            return pa.array(self._encode([sep + x for x in words]), pa.large_binary())
+        return _binary(np.append(starts, len(joined)), joined)
+
+    def _words(self, words: pa.LargeStringArray, sep: str) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+        """Ids of words after a separator, as distinct values and each word's place among them."""
+        keys, fits = Words.keys_of(words, list(SEPARATORS).index(sep))
+        places = self.known.find(keys)
+        places[~fits] = -1
+        new = np.flatnonzero(places < 0)
+        values = self.known.values().take(pa.array(places[places >= 0]))
+        places[places >= 0] = np.arange(len(values))
+        if len(new):
+            coded = words.take(pa.array(new)).dictionary_encode()
+            codes = coded.indices.to_numpy()
+            fresh = self._fresh(coded.dictionary.to_pylist(), sep)
+            example = np.empty(len(fresh), dtype=np.int64)
+            example[codes] = new
+            short = fits[example]
+            self.known.add(keys[example[short]], fresh.filter(pa.array(short)))
+            places[new] = len(values) + codes
+            values = pa.concat_arrays([values, fresh])
+        return values, places
+
+    def _marks(self, marks: np.ndarray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+        """Ids of runs of marks, each given as the number that its bytes make, as ``_words`` gives them."""
+        distinct, places = np.unique(marks, return_inverse=True)
+        for x in distinct.tolist():
+            if x not in self.ends:
+                if len(self.ends) >= KEPT_MARKS + len(distinct):
+                    self.ends.clear()
+                    return self._marks(marks)
+                (self.ends[x],) = self._encode([x.to_bytes(8, "little").rstrip(b"\0").decode()])
+        return pa.array([self.ends[x] for x in distinct.tolist()], pa.large_binary()), places
 
     @staticmethod
-    def _stem(piece: str) -> str:
-        """A piece without the marks at its end, where these follow a Latin letter and so are words of their own."""
-        stem = piece.rstrip(MARKS)
-        return stem if stem and stem[-1] < "\u0250" and stem[-1].isalpha() else piece
-
-    def _marks(self, marks: str) -> bytes:
-        if marks not in self.ends:
-            if len(self.ends) == KEPT_MARKS:
-                self.ends.clear()
-            (self.ends[marks],) = self._encode([marks])
-        return self.ends[marks]
+    def _stems(pieces: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray]:
+        """Pieces without up to 8 marks at their ends, where these follow a Latin letter and so are words of their own; and the marks, or 0."""
+        stems = pc.utf8_rtrim(pieces, characters=MARKS)
+        sizes, (bounds, data) = np.diff(_parts(stems)[0]), _parts(pieces)
+        cut = np.diff(bounds) - sizes
+        ends = bounds[:-1] + sizes
+        last, before = data[np.maximum(ends - 1, 0)], data[np.maximum(ends - 2, 0)]
+        letter = (last | 32) - np.uint8(97) < 26
+        letter |= (last >> 6 == 2) & (before >= 0xC3) & (before <= 0xC9) & ~((before == 0xC3) & ((last == 0x97) | (last == 0xB7)))
+        split = (cut > 0) & (cut <= 8) & (sizes > 0) & letter
+        marks = np.zeros(len(pieces), dtype=np.uint64)
+        for i in range(8):
+            more = np.flatnonzero(split & (cut > i))
+            marks[more] |= data[ends[more] + i].astype(np.uint64) << np.uint64(8 * i)
+        return pc.if_else(pa.array(split), stems, pieces), marks
+
+    def _pieces(self, pieces: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """The ids of each piece after a space: those of its words between line breaks, and of the marks at their ends."""
+        if not len(pieces):
+            return pa.array([], pa.large_binary())
+        # The words of a piece, in order: its first after the space, the others after a line break.
+        broken = np.flatnonzero(pc.match_substring(pieces, "\n").to_numpy(zero_copy_only=False))
+        lines = [x.split("\n") for x in pieces.take(pa.array(broken)).to_pylist()]
+        apart = np.array([not any(not x or x[0].isspace() for x in parts) for parts in lines], dtype=bool)
+        broken, lines = broken[apart], [parts for parts, a in zip(lines, apart.tolist(), strict=True) if a]
+        counts = np.ones(len(pieces), dtype=np.int64)
+        counts[broken] = [len(parts) for parts in lines]
+        bounds = np.r_[0, np.cumsum(counts)]
+        is_first = np.zeros(bounds[-1], dtype=bool)
+        is_first[bounds[:-1]] = True
+        firsts = pieces
+        if lines:
+            whole = np.ones(len(pieces), dtype=bool)
+            whole[broken] = False
+            firsts = pc.replace_with_mask(pieces, pa.array(~whole), pa.array([parts[0] for parts in lines], pa.large_string()))
+        stems, marks = self._stems(firsts)
+        values, places = self._words(stems, " ")
+        # Two values a word: its stem's, and its marks' or the empty one.
+        take, ends = np.empty((len(is_first), 2), dtype=np.int64), np.zeros(len(is_first), dtype=np.uint64)
+        take[is_first, 0], ends[is_first] = places, marks
+        if lines:
+            stems, marks = self._stems(pa.array([x for parts in lines for x in parts[1:]], pa.large_string()))
+            more, places = self._words(stems, "\n")
+            take[~is_first, 0], ends[~is_first] = places + len(values), marks
+            values = pa.concat_arrays([values, more])
+        more, places = self._marks(ends)
+        take[:, 1] = places + len(values)
+        joined = pa.concat_arrays([values, more]).take(pa.array(take.ravel()))
+        at, data = _parts(joined)
+        return _binary(at[2 * bounds], data)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text. Arrow splits the texts, numbers their distinct pieces and puts the ids together again."""
@@ -278,12 +431,14 @@ class PieceEncoder:
         is_head = np.zeros(len(flat), dtype=bool)
         is_head[at[:-1]] = True
         coded = flat.filter(pa.array(~is_head)).dictionary_encode()
-        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        codes = np.empty(len(flat), dtype=np.int64)
+        pieces, codes = coded.dictionary, np.zeros(len(flat), dtype=np.int64)
         codes[~is_head] = coded.indices.to_numpy()
-        codes[is_head] = len(pieces) + np.arange(len(texts))
         # Texts that are encoded as one: by a special token, or a space before white space or at the end.
-        odd = np.fromiter((not x or x[0].isspace() for x in pieces), dtype=bool, count=len(pieces))
+        bounds, data = _parts(pieces)
+        odd = bounds[:-1] == bounds[1:]
+        doubtful = np.flatnonzero(~odd)
+        doubtful = doubtful[MAY_BE_SPACE[data[bounds[doubtful]]]]
+        odd[doubtful] = [x[0].isspace() for x in pieces.take(pa.array(doubtful)).to_pylist()]
         whole = np.zeros(len(texts), dtype=bool)
         if odd.any():
             inside = np.zeros(len(flat), dtype=bool)
@@ -292,22 +447,19 @@ class PieceEncoder:
         for token in self.special:
             whole |= pc.match_substring(column, token).to_numpy(zero_copy_only=False)
         keep = is_head | ~np.repeat(whole, np.diff(at))
-        used = np.zeros(len(pieces), dtype=bool)
-        used[codes[keep & ~is_head]] = True
-        ids = [self.known.get(x) if u else b"" for x, u in zip(pieces, used.tolist(), strict=True)]
-        new = {i: self._stem(pieces[i]) for i, x in enumerate(ids) if x is None}
-        if unseen := [x for x in dict.fromkeys(new.values()) if x not in self.known]:
-            fresh = dict(zip(unseen, self._pieces(unseen), strict=True))
-            self.known.update(islice(((k, v) for k, v in fresh.items() if len(k) <= LONGEST), max(0, PIECES - len(self.known))))
-        for i, stem in new.items():
-            x = self.known.get(stem) or fresh[stem]
-            ids[i] = x if len(stem) == len(pieces[i]) else x + self._marks(pieces[i][len(stem) :])
+        if whole.any():
+            used = np.zeros(len(pieces), dtype=bool)
+            used[codes[keep & ~is_head]] = True
+            pieces = pieces.filter(pa.array(used))
+            codes = (np.cumsum(used) - 1)[codes] if len(used) else codes
+        codes[is_head] = len(pieces) + np.arange(len(texts))
         heads = flat.filter(pa.array(is_head)).to_numpy(zero_copy_only=False).tolist()
         starts = dict.fromkeys(x for x, w in zip(heads, whole.tolist(), strict=True) if not w)
         starts = dict(zip(starts, self._encode(list(starts)), strict=True)) if starts else {}
         rest = iter(self._encode([texts[i] for i in np.flatnonzero(whole).tolist()]) if whole.any() else ())
-        ids += [next(rest) if w else starts[x] for x, w in zip(heads, whole.tolist(), strict=True)]
-        joined = pa.array(ids, pa.large_binary()).take(pa.array(codes[keep]))
+        firsts = [next(rest) if w else starts[x] for x, w in zip(heads, whole.tolist(), strict=True)]
+        ids = pa.concat_arrays([self._pieces(pieces), pa.array(firsts, pa.large_binary())])
+        joined = ids.take(pa.array(codes[keep]))
         ends = np.frombuffer(joined.buffers()[1], dtype=np.int64, count=len(joined) + 1)
         bounds = ends[np.r_[0, np.cumsum(np.where(whole, 1, np.diff(at)))]].tolist()
         data = memoryview(joined.buffers()[2] or b"")
