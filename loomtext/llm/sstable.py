@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.columns import fields
 from loomtext.llm.files import give_back, new_file, open_file
-from loomtext.plans.runtime import fresh_path, materialise, shuffle_partitions
+from loomtext.plans.runtime import bound_batches, fresh_path, materialise, shuffle_partitions
 
 MAGIC = b"LTSSTBL1"
 FOOTER = struct.Struct("<QQQQQQBB8s")
@@ -226,7 +226,7 @@ class Shard:
 
 
 class Words:
-    """The ids of many short words in flat arrays, found by open addressing: some 40 bytes a word, where a dict takes over 100.
+    """The ids of many short words in flat arrays, found by open addressing: some 50 bytes a word, where a dict takes over 100.
 
     A key is a word's bytes, filled up with zeros, and a last byte of its length and kind, so equal keys are equal words.
     """
@@ -526,6 +526,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
     empty table gives an empty manifest.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = fields(docs, id_col, text_col)
     rows = rows.select(F.col("f0").cast("long").alias("id"), F.coalesce(F.col("f1").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumns({"order": F.xxhash64("text"), "place": F.monotonically_increasing_id()})

@@ -9,6 +9,7 @@ import pytest
 
 from loomtext.llm import sstable
 from loomtext.llm.queries import tokenizer_path
+from loomtext.plans.runtime import BATCH
 
 
 @pytest.fixture
@@ -58,3 +59,14 @@ def test_ids_are_those_of_whole_texts(monkeypatch, most, room, runs):
         texts = [None, *(x.strip(" \n") if rows.random() < 0.7 else x for x in texts)]
         for text, ids in zip(texts, encode(texts), strict=True):
             assert ids == plain(encode, text), text
+
+
+def test_workers_get_bounded_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(64 << 20))
+    try:
+        sstable.token_shards(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), tokenizer_path())
+        assert int(spark.conf.get(key)) == BATCH
+    finally:
+        spark.conf.set(key, before)
